@@ -1,0 +1,8 @@
+"""Registry of the core queries: name -> callable(spark, sf_dir)."""
+
+from __future__ import annotations
+
+from sievelark.operators import instants
+
+QUERIES = {"p3_found": instants.p3_found, "p3_kinds": instants.p3_kinds}
+ORACLES: dict[str, str] = {}
