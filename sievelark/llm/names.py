@@ -146,10 +146,10 @@ class Reader:
                     self.near[d].add(g)
 
     def options(self, t: str) -> set[str]:
-        if t in self.given:
-            return {t}
         if t in self.short:
             return set(self.short[t])
+        if t in self.given:
+            return {t}
         if len(t) < 3:
             return set()
         return {g for d in _less_one(t) for g in self.near.get(d, ()) if osa(t, g, 1) <= 1}
@@ -159,7 +159,7 @@ class Reader:
 
     def topic(self, t: str) -> str:
         """The topic that a word or its beginning names."""
-        return next((x for x in self.topics if x == t), next((x for x in self.topics if len(t) > 2 and x.startswith(t) and len(x) > len(t) + 2), t))
+        return next((x for x in self.topics if len(t) > 2 and x.startswith(t) and len(x) > len(t) + 2), t)
 
     def read(self, name: str) -> tuple[str, str, list[str]] | None:
         if (w := words(name)) is None:
@@ -300,9 +300,17 @@ def distinct_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(b).where("trim(coalesce(name, '')) <> ''").distinct()
 
 
-def close_enough(d: str = "d", a: str = "a", b: str = "b") -> Column:
-    """One edit, or two in strings of eight and more characters."""
-    return (F.col(d) <= 1) | (F.least(F.length(a), F.length(b)) >= 8)
+def slips(near: DataFrame, forms: DataFrame) -> DataFrame:
+    """The near pairs of which one side can be a slip of the other.
+
+    forms: (block, s, n), how many different spellings use the string. One edit: not both are
+    established (in three spellings or more). Two edits: one side is in a single spelling and
+    both are long."""
+    a, b = forms.select("block", F.col("s").alias("a"), F.col("n").alias("na")), forms.select("block", F.col("s").alias("b"), F.col("n").alias("nb"))
+    both = near.join(a, ["block", "a"]).join(b, ["block", "b"])
+    rare = F.least("na", "nb")
+    long = F.least(F.length("a"), F.length("b"))
+    return both.where(((F.col("d") <= 1) & (rare <= 2)) | ((F.col("d") == 2) & (rare <= 1) & (long >= 10))).select("block", "a", "b", "d")
 
 
 def link_names(names: DataFrame) -> DataFrame:
@@ -310,19 +318,21 @@ def link_names(names: DataFrame) -> DataFrame:
     read = cut(read_names(fan_out(names)))
     node = F.concat_ws("\t", F.col("kind"), F.col("key"), F.concat_ws(",", "options"))
     read = read.withColumn("node", node)
-    forms = cut(read.groupBy("node").agg(F.first("kind").alias("kind"), F.first("key").alias("key"), F.first("options").alias("options")))
-    full = forms.where("kind = 'full'").select("node", F.col("key").alias("s"), F.col("options")[0].alias("given"))
-    near = segment_join(full.select(F.col("given").alias("block"), "s")).where(close_enough())
+    forms = cut(read.groupBy("node").agg(F.first("kind").alias("kind"), F.first("key").alias("key"), F.first("options").alias("options"), F.count("*").alias("n")))
+    full = forms.where("kind = 'full'").select("node", F.col("key").alias("s"), F.col("options")[0].alias("given"), "n")
+    counted = full.select(F.col("given").alias("block"), "s", "n")
+    near = slips(segment_join(counted), counted)
     # distinct (given, surname) is a node of its own: the near pair names both ends
     name_of = lambda g, s: F.concat_ws("\t", F.lit("full"), s, g)
     links = near.select(name_of(F.col("block"), F.col("a")).alias("l"), name_of(F.col("block"), F.col("b")).alias("r"))
     roots = connected_components(links, "l", "r")
-    whole = cut(full.join(roots, full.node == roots.node, "left").select(full.node, "s", "given", F.coalesce("root", full.node).alias("entity")))
+    whole = cut(full.join(roots, full.node == roots.node, "left").select(full.node, "s", "given", "n", F.coalesce("root", full.node).alias("entity")))
 
-    wanted = forms.where("kind = 'open'").select("node", F.col("key").alias("s"), F.explode("options").alias("opt"))
-    wanted = wanted.select("node", "s", "opt", F.substring("opt", 1, 1).alias("block"))
+    wanted = forms.where("kind = 'open'").select("node", F.col("key").alias("s"), F.explode("options").alias("opt"), "n")
+    wanted = wanted.select("node", "s", "opt", "n", F.substring("opt", 1, 1).alias("block"))
     real = whole.where("given not like 'team %' and given <> 'only'").withColumn("block", F.substring("given", 1, 1))
-    around = segment_join(wanted.select("block", "s").unionByName(real.select("block", "s"))).where(close_enough())
+    counted = wanted.select("block", "s", "n").unionByName(real.select("block", "s", "n")).groupBy("block", "s").agg(F.sum("n").alias("n"))
+    around = slips(segment_join(counted), counted)
     around = around.unionByName(around.select("block", F.col("b").alias("a"), F.col("a").alias("b"), "d"))
     same = wanted.select("block", F.col("s").alias("a"), F.col("s").alias("b"), F.lit(0).alias("d")).distinct()
     around = cut(around.unionByName(same))
