@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from sievelark.llm import names
+from sievelark.llm import names, neardup
 
-QUERIES = {"p1_found": names.p1_found, "p1_entities": names.p1_entities}
+QUERIES = {
+    "p1_found": names.p1_found,
+    "p1_entities": names.p1_entities,
+    "p2_found": neardup.p2_found,
+    "p2_groups": neardup.p2_groups,
+}
 ORACLES: dict[str, str] = {}
