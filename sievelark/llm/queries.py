@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
-from sievelark.llm import names, neardup
+from sievelark.llm import history, names, neardup, seen
 
 QUERIES = {
     "p1_found": names.p1_found,
     "p1_entities": names.p1_entities,
     "p2_found": neardup.p2_found,
     "p2_groups": neardup.p2_groups,
+    "p5_found": history.p5_found,
+    "p5_coverage": history.p5_coverage,
+    "p7_found": seen.p7_found,
+    "p7_rates": seen.p7_rates,
+}
+_KEY = r"nullif(regexp_replace(regexp_replace(lower(trim({})), '^((semantic|arxiv|corpusid|s2|doi)\s*:\s*)+', ''), '^(\d{{4}}\.\d{{4,5}})v\d+$', '\1'), '')"
+
+ORACLES: dict[str, str] = {
+    "p7_found": f"""WITH memory AS (SELECT {_KEY.format("seen")} AS key, min(seen_at) AS first_at FROM semantic_scholar_memory GROUP BY 1),
+asked AS (SELECT item_ord, fetched_at, {_KEY.format("arxiv_id")} AS key FROM papers UNION ALL SELECT item_ord, fetched_at, {_KEY.format("semantic_paper_id")} AS key FROM papers)
+SELECT DISTINCT item_ord FROM asked JOIN memory USING (key) WHERE first_at < fetched_at""",
 }
-ORACLES: dict[str, str] = {}
