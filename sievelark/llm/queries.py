@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievelark.llm import history, names, neardup, seen
+from sievelark.llm import history, lookalikes, names, neardup, seen
 
 QUERIES = {
     "p1_found": names.p1_found,
@@ -13,6 +13,8 @@ QUERIES = {
     "p5_coverage": history.p5_coverage,
     "p7_found": seen.p7_found,
     "p7_rates": seen.p7_rates,
+    "p10_found": lookalikes.p10_found,
+    "p10_forms": lookalikes.p10_forms,
 }
 _KEY = r"nullif(regexp_replace(regexp_replace(lower(trim({})), '^((semantic|arxiv|corpusid|s2|doi)\s*:\s*)+', ''), '^(\d{{4}}\.\d{{4,5}})v\d+$', '\1'), '')"
 
