@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievelark.llm import history, lookalikes, names, neardup, seen
+from sievelark.llm import history, lookalikes, markup, names, neardup, seen
 
 QUERIES = {
     "p1_found": names.p1_found,
@@ -11,6 +11,8 @@ QUERIES = {
     "p2_groups": neardup.p2_groups,
     "p5_found": history.p5_found,
     "p5_coverage": history.p5_coverage,
+    "p6_found": markup.p6_found,
+    "p6_clean": markup.p6_clean,
     "p7_found": seen.p7_found,
     "p7_rates": seen.p7_rates,
     "p10_found": lookalikes.p10_found,
