@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from sievelark.llm import history, lookalikes, markup, names, neardup, seen
+from sievelark.llm import history, lookalikes, markup, names, neardup, seen, truncation
 
 QUERIES = {
     "p1_found": names.p1_found,
     "p1_entities": names.p1_entities,
     "p2_found": neardup.p2_found,
     "p2_groups": neardup.p2_groups,
+    "p4_found": truncation.p4_found,
+    "p4_rates": truncation.p4_rates,
     "p5_found": history.p5_found,
     "p5_coverage": history.p5_coverage,
     "p6_found": markup.p6_found,
