@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievelark.llm import history, lookalikes, markup, names, neardup, seen, truncation
+from sievelark.llm import history, lookalikes, markup, mixing, names, neardup, packing, seen, truncation
 
 QUERIES = {
     "p1_found": names.p1_found,
@@ -17,6 +17,10 @@ QUERIES = {
     "p6_clean": markup.p6_clean,
     "p7_found": seen.p7_found,
     "p7_rates": seen.p7_rates,
+    "p8_containers": packing.p8_containers,
+    "p8_fill": packing.p8_fill,
+    "p9_mixture": mixing.p9_mixture,
+    "p9_shares": mixing.p9_shares,
     "p10_found": lookalikes.p10_found,
     "p10_forms": lookalikes.p10_forms,
 }
