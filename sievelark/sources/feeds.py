@@ -55,7 +55,7 @@ def daily_items(docs: DataFrame, column: str = "value", host: str = "https://arx
     e = docs.withColumn("_ord", F.monotonically_increasing_id()).select("_ord", F.posexplode(F.from_json(column, _DAILY)).alias("_pos", "e"))
     p = F.col("e.paper")
     return conform(
-        e.select(
+        e.where(X.strip(p["id"]) != "").select(
             (F.col("_ord") * 100_000 + F.col("_pos")).alias("item_ord"), one_line(p["title"]).alias("title"), one_line(p["summary"]).alias("abstract"), F.concat(F.lit(host), p["id"]).alias("url"), F.lit("huggingface").alias("source"), p["id"].alias("arxiv_id"),
             F.coalesce(p["publishedAt"], F.col("e.publishedAt")).alias("published_date"), F.transform(p["authors"], lambda a: F.struct(a["name"].alias("name"), F.lit(None).cast("string").alias("affiliation"), F.lit(None).cast("string").alias("email"))).alias("authors"),
         )
