@@ -101,7 +101,8 @@ def count_bigrams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 letters = "^" + "".join(c for c in w if not unicodedata.combining(c)) + "$"
                 for x, y in zip(letters, letters[1:], strict=False):
                     total[s + x + y] += n
-    yield pd.DataFrame({"pair": list(total), "n": list(total.values())}, columns=["pair", "n"])
+    if total:
+        yield pd.DataFrame({"pair": list(total), "n": list(total.values())})
 
 
 class Speller:
@@ -173,6 +174,8 @@ def common_forms(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         speller = Speller(pairs)
         for b in batches:
+            if not len(b):
+                continue
             forms = [speller.common(t) for t in b["text"]]
             out = pd.DataFrame({"doc_id": b["doc_id"], "raw": [xxhash.xxh3_128_hexdigest(t) for t in b["text"]], "form": [xxhash.xxh3_128_hexdigest(t) for t in forms]})
             if keep_text:

@@ -251,7 +251,7 @@ def templates_of(texts: DataFrame, share: float = SHARE, least: int = MIN_PAGES)
     """(tbl, row_key, templates): the template blocks of each row that has one."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in filter(len, batches):
             yield pd.DataFrame({"tbl": b["tbl"], "row_key": b["row_key"], "host": b["host"], "hashes": [sorted({h for _, _, h in blocks(t)}) for t in b["text"]]})
 
     of_page = cut(texts.mapInPandas(run, "tbl string, row_key string, host string, hashes array<bigint>"))

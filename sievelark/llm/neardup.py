@@ -83,7 +83,7 @@ def shingle_sets(df: DataFrame, text: Column, size: int = SHINGLE) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache: dict[str, int] = {}
-        for b in batches:
+        for b in filter(len, batches):
             sets = [shingles(t or "", size, cache) for t in b["text"]]
             keys = [xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
             out = pd.DataFrame({"id": b["id"], "copy_key": keys, "sh": [s.view(np.int64) for s in sets]})

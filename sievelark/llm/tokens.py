@@ -48,7 +48,7 @@ def token_counts(docs: DataFrame, folder: str = FOLDER, vocabulary: str = VOCABU
     """(doc_id, source, n_tokens) of documents (doc_id, source, text); null texts are left out, empty ones have 0."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
+        for b in filter(len, batches):
             yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "n_tokens": [count(t, folder, vocabulary) for t in b["text"]]})
 
     return fan_out(docs.select("doc_id", "source", "text").where("text is not null")).mapInPandas(run, "doc_id bigint, source string, n_tokens bigint")
