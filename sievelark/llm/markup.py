@@ -62,6 +62,8 @@ _LINE = re.compile(
     re.M,
 )
 _HOLD = re.compile("\x00(\\d+)\x01")
+#: Signs without which a text has no markup of any kind.
+_SIGN = re.compile(r"[<>\\$`#*=\[\]&_~\x00]|''|^[ ]{0,3}(?:[-+]|\d{1,3}[.)])[ \t]|^-{3,}", re.M)
 
 
 def unescape(s: str) -> str:
@@ -97,6 +99,10 @@ class Parsed:
     def __init__(self, text: str):
         self.held: list[tuple[str, str]] = []
         self.elements: list[tuple[str, str, bool]] = []
+        if not _SIGN.search(text):
+            self.rest = ""
+            self.clean = "\n\n".join(x for p in re.split(r"\n\s*\n", text.replace("\r\n", "\n")) if (x := squeeze(p)))
+            return
         t = _DROP.sub(" ", text.replace("\r\n", "\n").replace("\x00", ""))
         t = _CODE.sub(self.code, t)
         if m := _OPEN_CODE.search(t):
