@@ -4,8 +4,9 @@
    half-width, ligature and font forms become the plain letters, accents are taken apart.
 2. Each letter stands for its class of look-alike letters (Latin, Cyrillic, Greek). A word is a
    lattice of the members of its letters' classes; the reading is found with Viterbi under
-   character bigram scores of each script, with a price for a change of script inside the word.
-   The lattice depends on the classes alone, so words that look the same get the same reading.
+   character bigram scores of each script, with a price for a change of script inside the word and
+   one for leaving the script that most letters without look-alikes of the text belong to.
+   Lattice and prices depend on the classes alone, so texts that look the same get the same reading.
 3. Accents are joined again. Texts with one common form are equal.
 
 The bigram scores are counted over the words of all documents whose script is plain (they hold a
@@ -38,8 +39,8 @@ CYRILLIC = {"а": "a", "е": "e", "о": "o", "р": "p", "с": "c", "у": "y", "
 GREEK = {"ο": "o", "ν": "v", "ρ": "p", "ϳ": "j", "Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "Ϳ": "J"}
 #: Letters of other kinds that are drawn as a plain one.
 PLAIN = {"ɑ": "a", "ɡ": "g", "ℓ": "l", "‐": "-", "‑": "-", "﹣": "-", "ʼ": "’"}
-#: Price of changing the script inside a word, in nats.
-SWITCH = 12.0
+#: Price of changing the script inside a word, and of each letter outside the text's main script, in nats.
+SWITCH, ABROAD = 12.0, 40.0
 
 _UNSEEN = re.compile("[\xad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180b-\u180f\u200b-\u200f\u202a-\u202e\u2060-\u206f\u3164\ufe00-\ufe0f\ufeff\uffa0\U000e0000-\U000e0fff]")
 _SPACE = re.compile("[\t\x0b\x0c\xa0\u1680\u2000-\u200a\u202f\u205f\u3000]")
@@ -49,6 +50,12 @@ _CLASS = {**CYRILLIC, **GREEK}
 _MEMBERS: dict[str, list[str]] = {}
 for _c, _r in _CLASS.items():
     _MEMBERS.setdefault(_r, [_r]).append(_c)
+_alike = "".join(_CLASS) + "".join(_MEMBERS)
+_PLAIN_LATIN = re.compile(f"[{''.join(c for c in map(chr, range(65, 123)) if c.isalpha() and c not in _alike)}]")
+_PLAIN_CYRILLIC = re.compile(f"[{''.join(c for c in map(chr, range(0x400, 0x530)) if c.isalpha() and c not in _alike)}]")
+_PLAIN_GREEK = re.compile(f"[{''.join(c for c in map(chr, range(0x370, 0x400)) if c.isalpha() and c not in _alike)}]")
+#: Words with a letter outside ASCII.
+_FOREIGN = re.compile(f"(?:[A-Za-z][{_MARK}]*)*[\u00aa-\u024f\u0370-\u052f{_MARK}](?:[A-Za-z\u00aa-\u024f\u0370-\u052f][{_MARK}]*)*")
 _COMPAT = {"<wide>", "<narrow>", "<font>", "<noBreak>"}
 
 
@@ -80,6 +87,14 @@ def seen(text: str) -> str:
     return unicodedata.normalize("NFD", t).strip()
 
 
+def main_script(t: str) -> int:
+    """The script of most letters that have no look-alike in another; -1 if there are none, the earlier of equals."""
+    if t.isascii():
+        return 0 if _PLAIN_LATIN.search(t) else -1
+    n = (len(_PLAIN_LATIN.findall(t)), len(_PLAIN_CYRILLIC.findall(t)), len(_PLAIN_GREEK.findall(t)))
+    return n.index(max(n)) if max(n) else -1
+
+
 def _word_scripts(w: str) -> tuple[set[int], bool]:
     """The scripts of a word, and whether one of its letters has no look-alike in another script."""
     letters = [c for c in w if not unicodedata.combining(c)]
@@ -114,23 +129,23 @@ class Speller:
             after[p[:2]] += n
         self.score = {p: math.log((n + 0.5) / (after[p[:2]] + 30)) for p, n in pairs.items()}
         self.floor = {p: math.log(0.5 / (n + 30)) for p, n in after.items()}
-        self.cache: dict[str, str] = {}
+        self.cache: dict[tuple[str, int], str] = {}
 
     def step(self, a: str, b: str, s: int) -> float:
         key = f"{s}{a}{b}"
         found = self.score.get(key)
         return found if found is not None else self.floor.get(key[:2], -4.0)
 
-    def read(self, w: str) -> str:
-        """The best reading of the class sequence of a word; ties go to the earlier script."""
+    def read(self, w: str, main: int) -> str:
+        """The best reading of the class sequence of a word in a text of script `main`; ties go to the earlier script."""
         shape = "".join(_CLASS.get(c, c) for c in w)
-        if (got := self.cache.get(shape)) is None:
+        if (got := self.cache.get((shape, main))) is None:
             if len(self.cache) > 300_000:
                 self.cache.clear()
-            got = self.cache[shape] = self.viterbi(shape)
+            got = self.cache[shape, main] = self.viterbi(shape, main)
         return got
 
-    def viterbi(self, shape: str) -> str:
+    def viterbi(self, shape: str, main: int) -> str:
         letters = [(i, c) for i, c in enumerate(shape) if not unicodedata.combining(c)]
         if all(c not in _MEMBERS for _, c in letters):
             return shape
@@ -139,12 +154,13 @@ class Speller:
             now: dict[str, tuple[float, list[str]]] = {}
             for m in _MEMBERS.get(c, [c]):
                 s = script(m)
+                toll = ABROAD if s != main and main >= 0 else 0.0
                 if k == 0:
-                    now[m] = (self.step("^", m, s), [m])
+                    now[m] = (self.step("^", m, s) - toll, [m])
                     continue
                 best = None
                 for p, (score, path) in paths.items():
-                    v = score + self.step(p, m, s) if script(p) == s else score - SWITCH + self.step("^", m, s)
+                    v = (score + self.step(p, m, s) if script(p) == s else score - SWITCH + self.step("^", m, s)) - toll
                     if best is None or v > best[0]:
                         best = (v, path)
                 now[m] = (best[0], [*best[1], m])
@@ -156,8 +172,15 @@ class Speller:
         return "".join(out)
 
     def common(self, text: str) -> str:
-        """The common form of a text."""
-        return unicodedata.normalize("NFC", _LETTERS.sub(lambda m: self.read(m[0]), seen(text)))
+        """The common form of a text.
+
+        Every letter abroad costs more than bigrams can win back, so where all letters of a Latin text's word
+        can be Latin they are, and words of plain ASCII letters need no look."""
+        t = seen(text)
+        main = main_script(t)
+        if main == 0:
+            return t if t.isascii() else unicodedata.normalize("NFC", _FOREIGN.sub(lambda m: self.read(m[0], 0), t))
+        return unicodedata.normalize("NFC", _LETTERS.sub(lambda m: self.read(m[0], main), t))
 
 
 def bigrams(docs: DataFrame) -> dict[str, int]:
