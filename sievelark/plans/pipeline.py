@@ -8,8 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievelark import schema
+from sievelark.config import Settings
+from sievelark.functions import text as X
 from sievelark.functions import tokens as K
-from sievelark.operators import memory, rank, recall
+from sievelark.operators import enrich, memory, rank, recall
 from sievelark.session import cut, table
 
 
@@ -42,3 +44,45 @@ def funnel(spark: SparkSession, sf_dir: str, include: Sequence[str], exclude: Se
         row = df.agg(F.lit(name).alias("stage"), F.count("*").alias("n_rows"))
         out = row if out is None else out.unionByName(row)
     return out
+
+
+def run_digest(spark: SparkSession, sf_dir: str, settings: Settings, as_of: Column, scorer: rank.Scorer | None = None, enricher: enrich.Enricher | None = None) -> dict[str, DataFrame]:
+    """A whole digest: recalled items, coarse ranking if there are many, signals, fine ranking, posts of the feeds, report lines.
+
+    Signals are looked for only on what the coarse ranking keeps; posts of the feeds skip the filters."""
+    scorer = scorer or rank.lexical_scorer(list(settings.include))
+    stages = digest(spark, sf_dir, settings.include, settings.exclude, as_of, settings.memory_ttl_days, settings.coarse_keep)
+    recalled = stages["recalled"]
+    if recalled.limit(settings.coarse_threshold + 1).count() > settings.coarse_threshold:
+        coarse = cut(rank.ranked(rank.score_with(recalled, scorer, settings.batch_rows), settings.coarse_keep)).drop("relevance_score", "filter_reason")
+    else:
+        coarse = recalled
+    noted = enrich.with_signals(coarse, (enricher or enrich.mock_results)(coarse))
+    fine = cut(rank.ranked(rank.score_with(noted, scorer, settings.batch_rows), settings.keep))
+    newest = [F.col("fetched_at").desc(), F.col("post_id")]
+    since = as_of - F.make_interval(days=F.lit(settings.blog_days))
+    posts = recall.recent(recall.first_per_group(table(spark, sf_dir, "blog_posts"), ["feed_key"], newest, settings.posts_per_feed), "fetched_at", since, keep_undated=True)
+    blogs = schema.blog_items(recall.first_wins(posts, F.col("url"), F.col("post_id")))
+    lines = recall.numbered(fine, [F.col("relevance_score").desc(), F.col("item_ord")]).select("n", "item_ord", X.report_line(F.col("n"), F.col("title"), F.col("authors"), F.col("url"), F.col("research_notes")).alias("line"))
+    return stages | {"coarse": coarse, "fine": fine, "blogs": blogs, "lines": lines}
+
+
+def apply_files(spark: SparkSession, events: str, manifests: str, seeds: str, dry_run: bool = False) -> dict[str, int]:
+    """Folds the pending events of a table into the versioned seeds; returns the counters.
+
+    Nothing is written on a dry run, or if anything fails before the end."""
+    from sievelark.operators import feedback
+    from sievelark.sources import state
+
+    store = state.Versioned(spark, seeds)
+    old = store.read()
+    old = spark.createDataFrame([], "paper_id string, polarity string") if old is None else old
+    pending = spark.read.parquet(events).where("lower(status) = 'pending'")
+    entries = state.manifest_entries(state.documents(spark, manifests))
+    index = feedback.manifest_index(entries, [F.col("file_rank"), F.col("pos")])
+    after, judged = feedback.apply_feedback(pending, index, old, [F.col("received_at"), F.col("event_id")])
+    after, judged = cut(after), cut(judged)
+    out = feedback.counters(judged).first().asDict()
+    store.write(after, dry_run)
+    sizes = {r.polarity: r["count"] for r in after.groupBy("polarity").count().collect()}
+    return out | {"positive": sizes.get("positive", 0), "negative": sizes.get("negative", 0)}

@@ -71,3 +71,33 @@ def winners_of_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 def daily_of_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events a day and label, by a stream with a watermark; output is complete."""
     return run_once(windowed(_events(spark, sf_dir), "received_at", "1 day"), "complete")
+
+
+def fresh_keys(events: DataFrame, key: str, ts: str, ttl_days: int) -> DataFrame:
+    """(key, ts, fresh) of each event: whether its key was not seen in the ttl_days before it.
+
+    A stateful operator: per key the last time is kept and dropped when the ttl has passed in event time."""
+    from collections.abc import Iterator
+
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    ttl_ms = ttl_days * 86_400_000
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        times = sorted(int(t.timestamp() * 1000) for b in batches for t in b[ts])
+        last = state.get[0] if state.exists else None
+        out = []
+        for t in times:
+            out.append((k[0], pd.Timestamp(t, unit="ms"), last is None or t - last > ttl_ms))
+            last = t if last is None else max(last, t)
+        state.update((last,))
+        state.setTimeoutTimestamp(max(last + ttl_ms, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame(out, columns=[key, ts, "fresh"])
+
+    schema = f"{key} string, {ts} timestamp, fresh boolean"
+    marked = events.withWatermark(ts, f"{ttl_days} days").select(key, ts)
+    return marked.groupBy(key).applyInPandasWithState(step, schema, "last bigint", "append", GroupStateTimeout.EventTimeTimeout)
