@@ -58,9 +58,13 @@ def micros(ts: Column) -> Column:
 
 
 def fan_out(df: DataFrame, factor: int = 4) -> DataFrame:
-    """Rows spread over at least `factor` tasks a core, for work that is heavy per row.
+    """Rows in at least `factor` tasks a core, for work that is heavy per row.
 
-    Small inputs arrive as one or two file splits; without this one task does all the work."""
+    Small inputs arrive as one or two file splits; without this one task does all the work. Inputs
+    that the scan already splits finely enough (by the planner's size of them) are left as they
+    are: large ones are never shuffled for this."""
     spark = df.sparkSession
     want = max(spark.sparkContext.defaultParallelism, 2) * factor
-    return df.repartition(want)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    return df if size >= want * split else df.repartition(want)
