@@ -189,7 +189,7 @@ def judged(texts: DataFrame) -> DataFrame:
             keys = list(stop.keys() | on.keys())
             yield pd.DataFrame({"k": pd.Series(keys, dtype="int64"), "ends": [stop[k] for k in keys], "goes_on": [on[k] for k in keys]})
 
-    run = once.select("done").mapInPandas(runs, "k bigint, ends bigint, goes_on bigint").groupBy("k").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on"))
+    run = cut(once.select("done").mapInPandas(runs, "k bigint, ends bigint, goes_on bigint").groupBy("k").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on")))
 
     def last_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
