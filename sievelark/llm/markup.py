@@ -11,7 +11,8 @@
    formulas, character references resolved.
 
 The counts are partial aggregates per host and hash, so one host with a third of all pages is no
-matter. Each text is handled alone; its template blocks are joined to it by row key.
+matter. Each text is handled alone; templates come to it by broadcast up to BROADCAST of them, else
+by a join on the row key.
 
 Defined results: null texts give nothing, empty ones the empty text; HTML comments, `style`,
 `script` and `title` are dropped; inline code is text; unclosed code, formulas and headings are
@@ -32,6 +33,8 @@ from sievelark.session import cut, fan_out, table
 
 #: Least share of a host's pages, and least number of pages, that a template block recurs on.
 SHARE, MIN_PAGES = 0.5, 10
+#: Most templates that are sent to every task.
+BROADCAST = 50_000
 
 _DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(style|script|title)\b[^>]*>.*?(?:</\1\s*>|\Z)", re.S | re.I)
 _CODE = re.compile(
@@ -232,7 +235,7 @@ def blocks(text: str) -> list[tuple[int, int, int]]:
     return [(a, b, xxhash.xxh3_64_intdigest(s.lower()) - (1 << 63)) for a, b in out if (s := squeeze(text[a:b]))]
 
 
-def without(text: str, templates: set[int]) -> str:
+def without(text: str, templates: frozenset[int]) -> str:
     """The text without the blocks whose hash is a template's."""
     if not templates:
         return text
@@ -253,39 +256,57 @@ def marked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.unionByName(b).unionByName(r).where("text is not null")
 
 
-def templates_of(texts: DataFrame, share: float = SHARE, least: int = MIN_PAGES) -> DataFrame:
-    """(tbl, row_key, templates): the template blocks of each row that has one."""
+def block_hashes(texts: DataFrame) -> DataFrame:
+    """(tbl, row_key, host, hashes): the different block hashes of each row."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in filter(len, batches):
             yield pd.DataFrame({"tbl": b["tbl"], "row_key": b["row_key"], "host": b["host"], "hashes": [sorted({h for _, _, h in blocks(t)}) for t in b["text"]]})
 
-    of_page = cut(texts.mapInPandas(run, "tbl string, row_key string, host string, hashes array<bigint>"))
+    return texts.mapInPandas(run, "tbl string, row_key string, host string, hashes array<bigint>")
+
+
+def template_hashes(of_page: DataFrame, share: float = SHARE, least: int = MIN_PAGES) -> DataFrame:
+    """(tbl, host, hash) of the blocks that recur on a host's pages."""
     pages = of_page.groupBy("tbl", "host").agg(F.count("*").alias("n_pages"))
-    each = of_page.select("tbl", "row_key", "host", F.explode("hashes").alias("hash"))
+    each = of_page.select("tbl", "host", F.explode("hashes").alias("hash"))
     common = each.groupBy("tbl", "host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    common = common.join(pages, ["tbl", "host"]).where(F.col("n") >= share * F.col("n_pages")).select("tbl", "host", "hash")
-    return each.join(common, ["tbl", "host", "hash"]).groupBy("tbl", "row_key").agg(F.collect_set("hash").alias("templates"))
+    return common.join(pages, ["tbl", "host"]).where(F.col("n") >= share * F.col("n_pages")).select("tbl", "host", "hash")
+
+
+def with_templates(texts: DataFrame, most: int = BROADCAST) -> DataFrame:
+    """texts and `templates`, the hashes of template blocks to delete from each (null for none).
+
+    Up to `most` templates are sent to every task by host, so texts are not shuffled; beyond that
+    the hashes of each row's own template blocks are joined by row key."""
+    of_page = cut(block_hashes(texts))
+    common = cut(template_hashes(of_page))
+    if common.count() <= most:
+        by_host = common.groupBy("tbl", "host").agg(F.collect_set("hash").alias("templates"))
+        return texts.join(F.broadcast(by_host), ["tbl", "host"], "left")
+    each = of_page.select("tbl", "row_key", "host", F.explode("hashes").alias("hash")).join(common, ["tbl", "host", "hash"])
+    return texts.join(each.groupBy("tbl", "row_key").agg(F.collect_set("hash").alias("templates")), ["tbl", "row_key"], "left")
 
 
-def parsed(texts: DataFrame, clean: bool) -> DataFrame:
-    """Rows of (tbl, row_key, element, content, open), or with clean (tbl, row_key, clean_text, n_templates)."""
+def parsed(texts: DataFrame, clean: bool, most: int = BROADCAST) -> DataFrame:
+    """Rows of (tbl, row_key, element, content, open), or with clean (tbl, row_key, clean_text, n_removed), the characters of templates."""
     texts = fan_out(texts)
-    both = texts.join(templates_of(texts), ["tbl", "row_key"], "left").select("tbl", "row_key", "text", "templates")
+    both = with_templates(texts, most).select("tbl", "row_key", "text", "templates")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for tbl, key, text, gone in b[["tbl", "row_key", "text", "templates"]].itertuples(index=False):
-                gone = set() if gone is None else {int(x) for x in gone}
-                p = Parsed(without(text, gone))
+                known = frozenset() if gone is None else frozenset(map(int, gone))
+                own = without(text, known)
+                p = Parsed(own)
                 if clean:
-                    out.append((tbl, key, p.clean, len(gone)))
+                    out.append((tbl, key, p.clean, len(text) - len(own)))
                 else:
                     out += [(tbl, key, *e) for e in dict.fromkeys(p.elements)]
-            yield pd.DataFrame(out, columns=["tbl", "row_key", "clean_text", "n_templates"] if clean else ["tbl", "row_key", "element", "content", "open"])
+            yield pd.DataFrame(out, columns=["tbl", "row_key", "clean_text", "n_removed"] if clean else ["tbl", "row_key", "element", "content", "open"])
 
-    return both.mapInPandas(run, "tbl string, row_key string, " + ("clean_text string, n_templates int" if clean else "element string, content string, open boolean"))
+    return both.mapInPandas(run, "tbl string, row_key string, " + ("clean_text string, n_removed int" if clean else "element string, content string, open boolean"))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,12 +64,13 @@ def test_clean():
     assert p.clean == "# Head\n\nSome bold & $x^2$ text.\n\n- one\n- two\n\n```\na\n b\n```"
 
 
-def test_templates(spark):
+@pytest.mark.parametrize("most", [100, 0])
+def test_templates(spark, most):
     rows = [("t", str(i), "h", f"<p>Own text {i}.</p><p>Subscribe now</p><ul><li>Home</li><li>Item {i}</li></ul>") for i in range(20)] + [("t", "x", "other", "<p>Subscribe now</p>"), ("t", "n", "h", "")]
     df = spark.createDataFrame(rows, "tbl string, row_key string, host string, text string")
-    got = {r.row_key: r.clean_text for r in M.parsed(df, True).collect()}
+    got = {r.row_key: r.clean_text for r in M.parsed(df, True, most).collect()}
     assert got["3"] == "Own text 3.\n\n- Item 3" and got["x"] == "Subscribe now" and got["n"] == ""
-    items = {r.content for r in M.parsed(df, False).where("row_key = '3'").collect()}
+    items = {r.content for r in M.parsed(df, False, most).where("row_key = '3'").collect()}
     assert items == {"Item 3"}
 
 
