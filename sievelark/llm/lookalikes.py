@@ -70,6 +70,8 @@ def _plain_table() -> dict[int, str]:
 
 
 _PLAIN = _plain_table()
+_COMPATIBLE = re.compile("[" + "".join(re.escape(chr(c)) for c in _PLAIN if c < 0x10000) + "]")
+_ASTRAL = re.compile("[\U0001d400-\U0001d7ff]")
 
 
 def script(c: str) -> int:
@@ -83,15 +85,17 @@ def seen(text: str) -> str:
     if text.isascii() and "\t" not in text and "\r" not in text and "\x0b" not in text and "\x0c" not in text:
         return text.strip()
     t = _UNSEEN.sub("", text).replace("\r\n", "\n").replace("\r", "\n").replace("\u2028", "\n").replace("\u2029", "\n").replace("\x85", "\n")
-    t = _SPACE.sub(" ", t.translate(_PLAIN))
-    return unicodedata.normalize("NFD", t).strip()
+    if _COMPATIBLE.search(t) or _ASTRAL.search(t):
+        t = t.translate(_PLAIN)
+    return unicodedata.normalize("NFD", _SPACE.sub(" ", t)).strip()
 
 
 def main_script(t: str) -> int:
     """The script of most letters that have no look-alike in another; -1 if there are none, the earlier of equals."""
     if t.isascii():
         return 0 if _PLAIN_LATIN.search(t) else -1
-    n = (len(_PLAIN_LATIN.findall(t)), len(_PLAIN_CYRILLIC.findall(t)), len(_PLAIN_GREEK.findall(t)))
+    ascii_ = t.encode("ascii", "ignore")
+    n = (len(ascii_) - len(ascii_.translate(None, _PLAIN_LATIN.pattern[1:-1].encode())), len(_PLAIN_CYRILLIC.findall(t)), len(_PLAIN_GREEK.findall(t)))
     return n.index(max(n)) if max(n) else -1
 
 
