@@ -43,7 +43,7 @@ TAIL = 4
 #: What is put after a cut.
 MARK = re.compile(r"[\s.…]*(?:[\[(]\s*(?:\.\.\.|…|more|cut|shortened[^\[\]()]*|truncated[^\[\]()]*|continued?|snip|abridged)\s*[\])]?|(?:…|\.\.\.)\s*(?:read|see|show|continue)\s+(?:more|reading)\W*)\s*$", re.I)
 _DOTS = re.compile(r"\s*(?:\.{3,}|…)\s*$")
-_OPEN_TAG = re.compile(r"</?[A-Za-z][^<>]*$|<!--(?:(?!-->).)*$|</?$", re.S)
+_OPEN_TAG = re.compile(r"</?[A-Za-z][^<>]*$|</?$", re.S)
 _ENTITY = re.compile(r"&(?:#\d{0,6}|#x[0-9a-f]{0,5}|([A-Za-z]{1,7}))$", re.I)
 _ENTITIES = ("nbsp", "mdash", "ndash", "amp", "lt", "gt", "quot", "apos", "middot", "hellip", "rsquo", "lsquo", "ldquo", "rdquo", "copy", "bull", "times")
 _OPEN_TEX = re.compile(r"\\[A-Za-z]*\*?(?:\[[^\]\n]*\])?\{[^{}]*$|\\[A-Za-z]*$")
@@ -76,16 +76,31 @@ def units(clean: str) -> list[tuple[str, str]]:
     return out
 
 
+def at_end(pattern: re.Pattern, s: str, most: int = 400) -> int:
+    """Where a pattern tied to the end begins, looking back at most so far; -1 if it is not there."""
+    a = max(0, len(s) - most)
+    m = pattern.search(s, a)
+    return m.start() if m else -1
+
+
+def open_tag(s: str) -> bool:
+    """Whether the text ends inside a tag or a comment."""
+    if (a := s.rfind("<!--")) >= 0 and "-->" not in s[a:]:
+        return True
+    a = s.rfind("<")
+    return a >= 0 and bool(_OPEN_TAG.match(s, a))
+
+
 def ending(text: str) -> tuple[str, str, str, bool, int, list[tuple[str, str]]]:
     """(status, mark, last unit as kind and words, whether it ends in a word, length before the mark, the finished units).
 
     status: cut and whole are certain; ask needs the counts."""
     s = text.rstrip()
     mark, body = "", s
-    if m := MARK.search(s):
-        mark, body = "said", s[: m.start()]
-    elif m := _DOTS.search(s):
-        mark, body = "dots", s[: m.start()]
+    if (a := at_end(MARK, s)) >= 0:
+        mark, body = "said", s[:a]
+    elif (a := at_end(_DOTS, s)) >= 0:
+        mark, body = "dots", s[:a]
     size = len(body)
     if not mark:
         size = len(text)
@@ -94,20 +109,20 @@ def ending(text: str) -> tuple[str, str, str, bool, int, list[tuple[str, str]]]:
     tail = body.rstrip()
     p = Parsed(tail)
     found = units(p.clean)
-    if broken or _OPEN_TAG.search(tail) or p.rest:
+    if broken or open_tag(tail) or p.rest:
         return "cut", mark, "", False, size, found[:-1]
-    if (m := _ENTITY.search(tail)) and (m[1] is None or any(e.startswith(m[1].lower()) for e in _ENTITIES)):
+    if (m := _ENTITY.search(tail, max(0, len(tail) - 12))) and (m[1] is None or any(e.startswith(m[1].lower()) for e in _ENTITIES)):
         return "cut", mark, "", False, size, found[:-1]
     bare = _FORMULA.sub(lambda m: m[0] if m["tick"] else " f ", _CODE.sub(" ", _DROP.sub(" ", tail)))
     last = bare[bare.rfind("\n\n") + 2 :] if "\n\n" in bare else bare
     if _OPEN_TEX.search(last) or _OPEN_LINK.search(last) or _OPEN_FORMULA.search(last):
         return "cut", mark, "", False, size, found[:-1]
-    if _CLOSED.search(tail):
+    if at_end(_CLOSED, tail) >= 0:
         return "whole", mark, "", False, size, found
     plain = tail
-    while m := _INLINE_END.search(plain):
-        plain = plain[: m.start()].rstrip()
-    if not plain or _STOP.search(plain) or not found:
+    while (a := at_end(_INLINE_END, plain)) >= 0:
+        plain = plain[:a].rstrip()
+    if not plain or at_end(_STOP, plain) >= 0 or not found:
         return "whole", mark, "", False, size, found
     kind, words = found[-1]
     return "ask", mark, f"{kind}\t{' '.join(tokens(words))}", plain[-1].isalnum() and body == tail, size, found[:-1]
@@ -130,17 +145,16 @@ def endings(texts: DataFrame) -> DataFrame:
 def count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(w, x, n): words (x empty) and neighbours (w then x as `>x`, and x as `<w`); units as w ` `."""
     for b in batches:
-        c: Counter[tuple[str, str]] = Counter()
+        one: Counter[str] = Counter()
+        two: Counter[tuple[str, str]] = Counter()
         for done in b["done"]:
             for u in done:
                 t = u.split("\t", 1)[1].split(" ")
-                c[" ", ""] += 1
-                for x in t:
-                    c[x, ""] += 1
-                for x, y in zip(t, t[1:], strict=False):
-                    c[x, ">" + y] += 1
-                    c[y, "<" + x] += 1
-        yield pd.DataFrame([(*k, n) for k, n in c.items()], columns=["w", "x", "n"])
+                one.update(t)
+                two.update(zip(t, t[1:], strict=False))
+            one[" "] += len(done)
+        rows = [(w, "", n) for w, n in one.items()] + [(x, ">" + y, n) for (x, y), n in two.items()] + [(y, "<" + x, n) for (x, y), n in two.items()]
+        yield pd.DataFrame(rows, columns=["w", "x", "n"])
 
 
 def fixed_words(counts: DataFrame) -> set[str]:
@@ -151,8 +165,20 @@ def fixed_words(counts: DataFrame) -> set[str]:
     return {r.w for r in kept.select("w").collect()}
 
 
-def _shape(t: list[str], fixed: set[str]) -> list[str]:
-    return ["#" if x[0].isdigit() else "$" if x[0] == "$" else x if x in fixed or not x[0].isalpha() else "*" for x in t]
+class Shapes(dict):
+    """Word -> its place holder: # numbers, $ formulas, * content, or itself if it is fixed or a sign."""
+
+    def __init__(self, fixed: set[str]):
+        super().__init__({w: w for w in fixed})
+
+    def __missing__(self, x: str) -> str:
+        if len(self) > 500_000:
+            return "*"
+        self[x] = out = "#" if x[:1].isdigit() else "$" if x[:1] == "$" else x if not x[:1].isalpha() else "*"
+        return out
+
+    def of(self, words: list[str]) -> list[str]:
+        return [self[w] for w in words]
 
 
 def _key(kind: str, shape: list[str]) -> int:
@@ -175,29 +201,34 @@ def judged(texts: DataFrame) -> DataFrame:
     vocabulary = counts.where("x = '' and n >= 2 and w <> ' '").select("w", "n")
 
     def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shapes = Shapes(fixed)
         for b in batches:
-            stop: Counter[int] = Counter()
-            on: Counter[int] = Counter()
+            seen: Counter[tuple[str, str]] = Counter()
             for done in b["done"]:
                 for u in done:
                     kind, rest = u.split("\t", 1)
-                    s = _shape(rest.split(" "), fixed)
-                    for j in range(1, len(s) + 1):
-                        c = stop if j == len(s) else on
-                        c[_key("F" + kind, s[:j])] += 1
-                        c[_key("T" + kind, s[max(0, j - TAIL) : j])] += 1
+                    seen[kind, " ".join(shapes.of(rest.split(" ")))] += 1
+            stop: Counter[int] = Counter()
+            on: Counter[int] = Counter()
+            for (kind, shape), n in seen.items():
+                s = shape.split(" ")
+                for j in range(1, len(s) + 1):
+                    c = stop if j == len(s) else on
+                    c[_key("F" + kind, s[:j])] += n
+                    c[_key("T" + kind, s[max(0, j - TAIL) : j])] += n
             keys = list(stop.keys() | on.keys())
             yield pd.DataFrame({"k": pd.Series(keys, dtype="int64"), "ends": [stop[k] for k in keys], "goes_on": [on[k] for k in keys]})
 
     run = cut(once.select("done").mapInPandas(runs, "k bigint, ends bigint, goes_on bigint").groupBy("k").agg(F.sum("ends").alias("ends"), F.sum("goes_on").alias("goes_on")))
 
     def last_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        shapes = Shapes(fixed)
         for b in batches:
             out = []
             for tbl, h, mark, last, glued, size in b[["tbl", "h", "mark", "last", "glued", "size"]].itertuples(index=False):
                 kind, rest = last.split("\t", 1)
                 t = rest.split(" ")
-                s = _shape(t, fixed)
+                s = shapes.of(t)
                 out.append((tbl, h, kind, mark, last, t[-1] if glued else None, size, _key("F" + kind, s), _key("T" + kind, s[-TAIL:])))
             yield pd.DataFrame(out, columns=["tbl", "h", "kind", "mark", "last", "word", "size", "kf", "kt"])
 
