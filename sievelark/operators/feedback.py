@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelark.functions import text as X
@@ -36,13 +36,16 @@ def winners(events: DataFrame, by: str, order: list[Column]) -> DataFrame:
 def outcomes(events: DataFrame, order: list[Column]) -> DataFrame:
     """outcome and reason of every event (with paper_id): applied, or rejected as invalid, unmapped or superseded.
 
-    The window holds the events of one paper; the losers need their rank, so it is no aggregate."""
+    The last place in the order of each paper is an aggregate with map-side combine, joined back to the
+    events; no window holds a paper's events, so one paper may have a third of them. Events whose order
+    is equal in all parts count alike."""
     label = known_label()
-    df = events.withColumn("_ok", label.isNotNull() & F.col("paper_id").isNotNull())
-    rank = F.row_number().over(Window.partitionBy("paper_id", "_ok").orderBy(*[o.desc() for o in order]))
-    df = df.withColumn("_rn", F.when(F.col("_ok"), rank))
-    reason = F.when(label.isNull(), INVALID).when(F.col("paper_id").isNull(), UNMAPPED).when(F.col("_rn") > 1, SUPERSEDED)
-    return df.withColumns({"outcome": F.when(reason.isNull(), "applied").otherwise("rejected"), "reason": reason}).drop("_ok", "_rn")
+    df = events.withColumn("_at", F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)]))
+    good = label.isNotNull() & F.col("paper_id").isNotNull()
+    last = df.where(good).groupBy("paper_id").agg(F.max("_at").alias("_last"))
+    df = df.join(last, "paper_id", "left")
+    reason = F.when(label.isNull(), INVALID).when(F.col("paper_id").isNull(), UNMAPPED).when(F.col("_at") != F.col("_last"), SUPERSEDED)
+    return df.withColumns({"outcome": F.when(reason.isNull(), "applied").otherwise("rejected"), "reason": reason}).select(*events.columns, "outcome", "reason")
 
 
 def counters(df: DataFrame) -> DataFrame:

@@ -2,22 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sievelark.functions import text as X
 
 
 def title_matches(items: DataFrame, catalogue: DataFrame, years: int = 1) -> DataFrame:
-    """Pairs of equal match titles that are also near in year or share an author.
-
-    items and catalogue: id, title, year, authors (array of names). An equi-join on the title key with the rest as residual condition."""
-    key = lambda df, p: df.select(*[F.col(c).alias(p + c) for c in ("id", "title", "year", "authors")]).withColumn("_k", X.match_title(F.col(p + "title"))).where("_k <> ''")
-    a, b = key(items, "a_"), key(catalogue, "b_")
-    names = lambda c: F.filter(F.transform(c, X.match_title), lambda n: n != "")
-    near = F.abs(F.col("a_year") - F.col("b_year")) <= years
-    shared = F.arrays_overlap(names(F.col("a_authors")), names(F.col("b_authors")))
-    return a.join(b, "_k").where(F.coalesce(near, F.lit(False)) | F.coalesce(shared, F.lit(False))).select(F.col("a_id").alias("id"), F.col("b_id").alias("match_id"), F.col("_k").alias("match_key"))
+    """(id, match_id): for each item the lowest catalogue id, other than its own, of equal match title that is also near in year or shares an author.
+
+    items and catalogue: id, title, year, authors (array of names). The catalogue is reduced to the two
+    lowest ids of each title and year, and of each title and author, before items are joined to it on these
+    keys; so a title that very many rows share makes no pairs of all of them."""
+    key = lambda df: df.select("id", "year", "authors", X.match_title(F.col("title")).alias("_k")).where("_k <> ''")
+    names = F.filter(F.transform(F.coalesce("authors", F.array().cast("array<string>")), X.match_title), lambda n: n != "")
+    tags = lambda ys: F.explode(F.array_distinct(F.concat(ys, F.transform(names, lambda n: F.concat(F.lit("a "), n)))))
+    year = lambda d: F.concat(F.lit("y "), (F.col("year") + d).cast("string"))
+    known = key(catalogue).select("id", "_k", tags(F.array_compact(F.array(year(0)))).alias("_t"))
+    first = known.groupBy("_k", "_t").agg(F.min("id").alias("_1"))
+    second = known.join(first, ["_k", "_t"]).where(F.col("id") > F.col("_1")).groupBy("_k", "_t").agg(F.min("id").alias("_2"))
+    lowest = first.join(second, ["_k", "_t"], "left")
+    asked = key(items).select("id", "_k", tags(F.array_compact(F.array(*[year(d) for d in range(-years, years + 1)]))).alias("_t"))
+    hit = asked.join(lowest, ["_k", "_t"]).select("id", F.when(F.col("_1") != F.col("id"), F.col("_1")).otherwise(F.col("_2")).alias("m"))
+    return hit.where("m is not null").groupBy("id").agg(F.min("m").alias("match_id"))
 
 
 def within_budget(keys: DataFrame, most: int, order: list[Column]) -> DataFrame:
@@ -53,8 +60,3 @@ def resolve(items: DataFrame, by_arxiv: DataFrame, by_title: DataFrame, budget:
 
 def stats(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("status").agg(F.count("*").alias("n_rows"))
-
-
-def first_of_key(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
-    """is_first: whether the row is the one that pays for its key's lookup."""
-    return df.withColumn("is_first", F.row_number().over(Window.partitionBy(key).orderBy(*order)) == 1)

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def centroid(df: DataFrame, vector: str = "embedding") -> DataFrame:
-    """One row: the mean vector, summed by position with map-side combine."""
+def centroid(df: DataFrame, vector: str = "embedding") -> list[float]:
+    """The mean vector, summed by position with map-side combine; as many numbers as a vector has come to the driver."""
     each = df.select(F.posexplode(vector).alias("i", "x")).groupBy("i").agg(F.avg("x").alias("x"))
-    return each.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("c"))
+    return [r.x for r in each.orderBy("i").collect()]
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -17,11 +17,11 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def recommend(df: DataFrame, liked: Column, disliked: Column, k: int, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """The k other rows by cosine with mean(liked) - mean(disliked). Only the one-row means are broadcast; a top-k ends the plan."""
+    """The k other rows by cosine with mean(liked) - mean(disliked). The query vector is a constant of the plan; a top-k ends it."""
     v = df.withColumn("_v", F.transform(vector, lambda x: x.cast("double")))
-    zero = F.transform("_v", lambda x: F.lit(0.0))
-    up, down = centroid(v.where(liked), "_v").withColumnRenamed("c", "_u"), centroid(v.where(disliked), "_v").withColumnRenamed("c", "_d")
-    x = v.where(~(liked | disliked)).join(F.broadcast(up), F.lit(True)).join(F.broadcast(down), F.lit(True))
-    x = x.withColumn("_q", F.zip_with(F.coalesce("_u", zero), F.coalesce("_d", zero), lambda a, b: a - b))
+    up, down = centroid(v.where(liked), "_v"), centroid(v.where(disliked), "_v")
+    size = max(len(up), len(down))
+    query = [a - b for a, b in zip(up or [0.0] * size, down or [0.0] * size, strict=True)]
+    x = v.where(~(liked | disliked)).withColumn("_q", F.array(*map(F.lit, query)).cast("array<double>"))
     norm = F.sqrt(dot(F.col("_v"), F.col("_v"))) * F.sqrt(dot(F.col("_q"), F.col("_q")))
-    return x.withColumn("score", F.try_divide(dot(F.col("_v"), F.col("_q")), norm)).orderBy(F.col("score").desc_nulls_last(), F.col(key)).limit(k).drop("_v", "_u", "_d", "_q")
+    return x.withColumn("score", F.try_divide(dot(F.col("_v"), F.col("_q")), norm)).orderBy(F.col("score").desc_nulls_last(), F.col(key)).limit(k).drop("_v", "_q")

@@ -78,7 +78,7 @@ def resolved_sql(budget: bool) -> str:
     over = "own IS NULL AND NOT coalesce(in_budget, false)" if budget else "false"
     return f"""WITH titles AS ({TITLES}), p AS (SELECT item_ord, nullif({paper_id("semantic_paper_id")}, '') AS own, nullif({arxiv_id("arxiv_id")}, '') AS a, {LOOKUP} AS lookup_key FROM papers),
 fa AS (SELECT {arxiv_id("arxiv_id")} AS a, min({paper_id("semantic_paper_id")}) AS found FROM papers WHERE nullif(trim(semantic_paper_id), '') IS NOT NULL AND nullif(trim(arxiv_id), '') IS NOT NULL GROUP BY 1),
-ft AS (SELECT t.id AS item_ord, min(q.own) AS found FROM titles t JOIN p q ON q.item_ord = t.match_id WHERE q.own IS NOT NULL GROUP BY 1),
+ft AS (SELECT t.id AS item_ord, arg_min(q.own, q.item_ord) AS found FROM titles t JOIN p q ON q.item_ord = t.match_id WHERE q.own IS NOT NULL GROUP BY 1),
 b AS (SELECT lookup_key, true AS in_budget FROM (SELECT DISTINCT lookup_key FROM p WHERE own IS NULL) ORDER BY lookup_key LIMIT 25),
 r AS (SELECT p.item_ord, own, fa.found AS fa, ft.found AS ft, {over} AS over_it FROM p LEFT JOIN fa ON fa.a = p.a LEFT JOIN ft ON ft.item_ord = p.item_ord LEFT JOIN b ON b.lookup_key = p.lookup_key),
 s AS (SELECT item_ord, CASE WHEN own IS NOT NULL THEN 'existing' WHEN over_it THEN 'error' WHEN coalesce(fa, ft) IS NOT NULL THEN 'resolved' ELSE 'unresolved' END AS status,
@@ -203,7 +203,7 @@ ORACLES: dict[str, str] = {
     "default_scorer": "SELECT item_ord, round(n / 10.0, 4)::DOUBLE AS relevance_score, n || ' keywords' AS filter_reason FROM (SELECT item_ord, "
     + " + ".join(f"contains(lower(coalesce(title, '') || ' ' || coalesce(abstract, '')), '{k.lower()}')::INT" for k in sorted(set(INCLUDE)))
     + " AS n FROM papers)",
-    "title_match": f"SELECT id, match_id FROM ({TITLES}) WHERE id < match_id",
+    "title_match": f"SELECT id, min(match_id) AS match_id FROM ({TITLES}) GROUP BY 1",
     "lookup_budget": f"SELECT lookup_key, row_number() OVER (ORDER BY lookup_key) <= 25 AS in_budget FROM (SELECT DISTINCT {LOOKUP} AS lookup_key FROM papers)",
     "resolve_order": resolved_sql(False) + "item_ord, CASE status WHEN 'existing' THEN own WHEN 'resolved' THEN coalesce(fa, ft) END AS paper_id, status, method FROM s",
     "resolver_stats": resolved_sql(True) + "status, count(*) AS n_rows FROM s GROUP BY 1",

@@ -517,7 +517,7 @@ def _catalogue(s, d):
 @query
 def title_match(s, d):
     c = _catalogue(s, d)
-    return resolve.title_matches(c, c).where("id < match_id").select("id", "match_id")
+    return resolve.title_matches(c, c)
 
 
 @query
@@ -532,7 +532,8 @@ def _resolved(s, d, budget=None):
     by_arxiv = known.groupBy(X.normalize_arxiv_id(F.col("arxiv_id")).alias("arxiv_key")).agg(F.min(X.normalize_paper_id(F.col("semantic_paper_id"))).alias("found_id")).withColumn("failed", F.lit(False))
     c = _catalogue(s, d)
     ids = p.select(F.col("item_ord").alias("match_id"), F.nullif(X.normalize_paper_id(F.col("semantic_paper_id")), F.lit("")).alias("found_id")).where("found_id is not null")
-    by_title = resolve.title_matches(c, c).where("id <> match_id").join(ids, "match_id").select(F.col("id").alias("item_ord"), "found_id")
+    identified = c.join(ids.select(F.col("match_id").alias("id")), "id", "left_semi")
+    by_title = resolve.title_matches(c, identified).join(ids, "match_id").select(F.col("id").alias("item_ord"), "found_id")
     return resolve.resolve(p, by_arxiv, by_title, budget)
 
 

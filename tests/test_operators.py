@@ -97,6 +97,7 @@ def test_title_matches(spark):
     a = spark.createDataFrame([(1, "Same, Title!", 2020, ["Ann"]), (2, "Same title", 2010, ["Bob"]), (3, "", 2020, [])], kind)
     b = spark.createDataFrame([(10, "same title", 2021, ["Cid"]), (11, "same  title", None, ["BOB"]), (12, "other title", 2020, ["Ann"]), (13, None, 2020, None)], kind)
     assert sorted((r.id, r.match_id) for r in resolve.title_matches(a, b).collect()) == [(1, 10), (2, 11)]
+    assert [tuple(r) for r in resolve.title_matches(a, a.unionByName(a.withColumn("id", F.col("id") + 100))).orderBy("id").collect()] == [(1, 101), (2, 102)]
 
 
 def test_budget(spark):
