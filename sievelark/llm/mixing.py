@@ -103,5 +103,6 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     used, _ = mixture(token_counts(table(spark, sf_dir, "documents")), targets, BUDGETS)
     g = cut(used.groupBy("budget", "source").agg(F.count("*").alias("n_docs"), F.max("copies").alias("most_copies"), F.sum(F.col("n_tokens") * F.col("copies")).alias("n_tokens")))
     total = g.groupBy("budget").agg(F.sum("n_tokens").alias("all_tokens"))
-    grid = total.join(F.broadcast(targets.select("source", "target_share")), F.lit(True)).join(g, ["budget", "source"], "left").na.fill(0, ["n_docs", "most_copies", "n_tokens"])
+    grid = targets.select("source", "target_share", F.explode(F.array(*map(F.lit, BUDGETS))).alias("budget"))
+    grid = grid.join(total, "budget").join(g, ["budget", "source"], "left").na.fill(0, ["n_docs", "most_copies", "n_tokens"])
     return grid.select("budget", "source", "target_share", "n_docs", "most_copies", "n_tokens", (F.col("n_tokens") / F.col("all_tokens")).alias("actual_share"))

@@ -65,11 +65,12 @@ def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=["container_kind", "capacity", "used", "docs", "pieces", "tokens"])
 
 
-def items_of(counts: DataFrame, containers: DataFrame) -> DataFrame:
-    """The pieces of every document for every kind, as containers of one piece; full is true of pieces that fill one."""
-    x = counts.where("n_tokens > 0").select("doc_id", "n_tokens").join(F.broadcast(containers), F.lit(True))
+def items_of(counts: DataFrame, kinds: list[tuple[str, int]]) -> DataFrame:
+    """The pieces of every document for every kind, as containers of one piece."""
+    each = F.array(*[F.struct(F.lit(k).alias("container_kind"), F.lit(c).alias("capacity_tokens")) for k, c in kinds])
+    x = counts.where("n_tokens > 0").select("doc_id", "n_tokens", F.explode(each).alias("k")).select("doc_id", "n_tokens", "k.*")
     cap = F.col("capacity_tokens").cast("bigint")
-    x = x.where(cap > 0).withColumn("whole", F.floor((F.col("n_tokens") - 1) / cap))
+    x = x.withColumn("whole", F.floor((F.col("n_tokens") - 1) / cap))
     x = x.withColumn("piece", F.explode(F.sequence(F.lit(0), F.col("whole").cast("int"))))
     used = F.when(F.col("piece") < F.col("whole"), cap).otherwise(F.col("n_tokens") - F.col("whole") * cap)
     return x.select("container_kind", F.col("capacity_tokens").alias("capacity"), used.alias("used"), F.array("doc_id").alias("docs"), F.array("piece").alias("pieces"), F.array(used).alias("tokens"))
@@ -78,9 +79,11 @@ def items_of(counts: DataFrame, containers: DataFrame) -> DataFrame:
 def packed(counts: DataFrame, containers: DataFrame, group: int = GROUP, nearly: float = NEARLY) -> DataFrame:
     """Containers (container_kind, capacity, used, docs, pieces, tokens) holding every document once for each kind.
 
-    containers is a configuration table of a few rows; it is sent to every task."""
-    containers = containers.select("container_kind", "capacity_tokens")
-    rest = cut(items_of(counts, containers))
+    containers is a configuration table of a few rows; its rows become constants of the plan."""
+    kinds = [(r.container_kind, r.capacity_tokens) for r in containers.select("container_kind", "capacity_tokens").distinct().collect() if (r.capacity_tokens or 0) > 0]
+    if not kinds:
+        return counts.sparkSession.createDataFrame([], _BIN)
+    rest = cut(items_of(counts, kinds))
     done = rest.where(F.col("used") >= nearly * F.col("capacity"))
     rest = rest.where(F.col("used") < nearly * F.col("capacity"))
     before, shrink = None, 1

@@ -172,9 +172,9 @@ class Shapes(dict):
         super().__init__({w: w for w in fixed})
 
     def __missing__(self, x: str) -> str:
-        if len(self) > 500_000:
-            return "*"
-        self[x] = out = "#" if x[:1].isdigit() else "$" if x[:1] == "$" else x if not x[:1].isalpha() else "*"
+        out = "#" if x[:1].isdigit() else "$" if x[:1] == "$" else x if not x[:1].isalpha() else "*"
+        if len(self) < 500_000:
+            self[x] = out
         return out
 
     def of(self, words: list[str]) -> list[str]:
