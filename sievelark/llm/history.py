@@ -10,7 +10,7 @@ recomputed, only the batch is. Marks found give links to the rows first accepted
 are appended. Sameness carries over along links by connected components.
 
 A mark on a third of all rows is one row of history; in the batch it is reduced by a partial
-aggregate before the join. History of n rows takes about 100 marks a title of 16 bytes each.
+aggregate before the join, and the join back to its rows is one that adaptive execution splits. History of n rows takes about 100 marks a title of 16 bytes each.
 
 Defined results: null and empty urls, titles and texts leave no mark; repeated rows of one batch
 link to the lowest id; a row never comes out for a row of its own batch alone; an empty table
@@ -135,6 +135,7 @@ def marks(df: DataFrame, kind: str) -> DataFrame:
                             found = np.append(found, np.uint64(_hash("u" + page)))
                     else:
                         found = np.array(sorted({_hash("p" + p) for p in paragraphs(text)}), np.uint64)
+                    found = np.unique(found)
                     n.append(np.full(len(found), node, np.int64))
                     t.append(np.full(len(found), batch, np.int32))
                     m.append((found ^ salt).view(np.int64))
@@ -154,20 +155,21 @@ class History:
         self.empty = True
 
     def accept(self, batch: DataFrame) -> DataFrame:
-        """Links (node, holder, n, old) of one batch (node, mark) to the rows that first brought its marks; appends the new marks.
+        """Links (node, holder, old, n) of one batch of distinct (node, mark) to the rows that first brought its marks; appends the new marks.
 
-        n is the number of marks that link the two; old says whether the holder was in history before."""
-        batch = cut(batch.select("node", "mark").distinct())
-        first = batch.groupBy("mark").agg(F.min("node").alias("own"))
+        n is the number of marks that link the two; old says whether the holder was in history before.
+        The batch is first reduced to one row a mark (with map-side combine); only marks that more than
+        one row or history has are joined back to the batch's rows."""
+        first = batch.groupBy("mark").agg(F.min("node").alias("own"), F.count("*").alias("c"))
         if self.empty:
-            fresh = first.withColumn("holder", F.lit(None).cast("bigint"))
+            first = first.withColumn("holder", F.lit(None).cast("bigint"))
         else:
-            old = self.spark.table(self.name).select("mark", F.col("node").alias("holder"))
-            fresh = first.join(old, "mark", "left")
-        fresh = cut(fresh)
-        links = batch.join(fresh, "mark").select("node", F.coalesce("holder", "own").alias("to"), F.col("holder").isNotNull().alias("old"))
-        links = cut(links.where("node <> to").groupBy("node", F.col("to").alias("holder"), "old").agg(F.count("*").alias("n")))
-        rows = fresh.where("holder is null").select("mark", F.col("own").alias("node")).repartition(self.buckets, "mark")
+            first = first.join(self.spark.table(self.name).select("mark", F.col("node").alias("holder")), "mark", "left")
+        first = cut(first)
+        shared = first.where("holder is not null or c > 1").select("mark", F.coalesce("holder", "own").alias("to"), F.col("holder").isNotNull().alias("old"))
+        links = batch.join(shared, "mark").where("node <> to").groupBy("node", F.col("to").alias("holder"), "old").agg(F.count("*").alias("n"))
+        links = cut(links)
+        rows = first.where("holder is null").select("mark", F.col("own").alias("node")).repartition(self.buckets, "mark")
         rows.write.mode("append").format("parquet").option("path", self.path).bucketBy(self.buckets, "mark").saveAsTable(self.name)
         self.empty = False
         return links
@@ -175,25 +177,33 @@ class History:
     def drop(self) -> None:
         """Forgets the table; its files in the shared folder go with it."""
         self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.path)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def batch_by_batch(marked: DataFrame) -> DataFrame:
-    """All links (node, holder, old, n), the batches being accepted one after another in order."""
+    """All links (node, holder, old, n), the batches being accepted one after another in order.
+
+    The marks are stored by batch first, so each batch reads its own only."""
     spark = marked.sparkSession
-    marked = cut(marked)
-    numbers = sorted(r.batch for r in marked.select("batch").distinct().collect())
     history, links = History(spark), None
+    landed = history.path + "_in"
     try:
+        marked.where("batch is not null").write.partitionBy("batch").parquet(landed)
+        stored = spark.read.schema(_MARKS).parquet(landed)
+        numbers = sorted(r.batch for r in stored.select("batch").distinct().collect())
         for b in numbers:
-            new = history.accept(marked.where(F.col("batch") == b))
+            new = history.accept(stored.where(F.col("batch") == b).select("node", "mark"))
             links = new if links is None else links.unionByName(new)
         empty = spark.createDataFrame([], "node bigint, holder bigint, old boolean, n bigint")
         return cut(links) if links is not None else empty
     finally:
         history.drop()
+        remove(spark, landed)
 
 
 def delivered(spark: SparkSession, sf_dir: str) -> DataFrame:
