@@ -1,0 +1,38 @@
+"""Plans of the training-data operators: history is joined where it lies, texts are not shuffled for templates."""
+
+from pyspark.sql import functions as F
+
+from sievelark.llm import history as H
+from sievelark.llm import markup as M
+from sievelark.llm import neardup as N
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_history_is_not_shuffled(spark):
+    h = H.History(spark, 4)
+    try:
+        h.accept(spark.createDataFrame([(i, i * 7) for i in range(100)], "node bigint, mark bigint"))
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        new = spark.createDataFrame([(1000 + i, i * 14) for i in range(100)], "node bigint, mark bigint").groupBy("mark").agg(F.min("node").alias("own"))
+        text = plan(new.join(spark.table(h.name), "mark", "left"))
+        assert text.count("Exchange hashpartitioning(mark") == 1 and "Bucketed: true" in text
+        links = h.accept(spark.createDataFrame([(1000 + i, i * 14) for i in range(100)], "node bigint, mark bigint"))
+        assert links.count() == 50 and links.where("old").count() == 50
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+        h.drop()
+    assert not spark.catalog.tableExists(h.name)
+
+
+def test_templates_do_not_shuffle_texts(spark):
+    df = spark.createDataFrame([("t", "1", "h", "<p>x</p>")], "tbl string, row_key string, host string, text string")
+    text = plan(M.with_templates(df))
+    assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
+
+
+def test_anchor_join_has_a_key(spark):
+    text = plan(N.shingle_sets(spark.createDataFrame([(1, "a b c d")], "id bigint, text string"), F.col("text")))
+    assert "CartesianProduct" not in text and "MapInPandas" in text
