@@ -174,3 +174,10 @@ def report_line(n: Column, title: Column, authors: Column, url: Column, notes: C
     if notes is not None:
         text.append(F.when(F.coalesce(notes, F.lit("")) != "", F.concat(F.lit("\n   🔍 Community Signals: "), notes)).otherwise(""))
     return F.concat(*text)
+
+
+def blog_line(n: Column, title: Column, source: Column, url: Column, abstract: Column) -> Column:
+    """A numbered entry of a post for the report's prompt: no mark in the title, 500 characters of text."""
+    plain = F.regexp_replace(F.coalesce(title, F.lit("")), r"^\[Blog\] ", "")
+    preview = F.when(F.coalesce(abstract, F.lit("")) == "", "No content preview").otherwise(F.left(abstract, F.lit(500)))
+    return F.concat(n.cast("string"), F.lit(". "), plain, F.lit("\n   Source: "), F.coalesce(source, F.lit("Unknown")), F.lit("\n   URL: "), F.coalesce(url, F.lit("")), F.lit("\n   Content: "), preview, F.lit("..."))

@@ -95,3 +95,25 @@ def label_cascade(labels: DataFrame, manifest: DataFrame) -> DataFrame:
     x = x.join(by_item, "item_id", "left").join(by_paper, "_k2", "left").join(by_title, ["_t", "_u"], "left")
     how = F.when(F.col("_a").isNotNull(), "item_id").when(F.col("_b").isNotNull(), "paper_id").when(F.col("_c").isNotNull(), "title_url")
     return x.withColumns({"paper_id": F.coalesce("_a", "_b", "_c"), "matched_by": how}).drop("_a", "_b", "_c", "_k2", "_t", "_u")
+
+
+def normalized(events: DataFrame) -> DataFrame:
+    """Events with stripped texts, label and status in lower case, an empty status as pending and paper ids in one form."""
+    texts = [c for c, t in events.dtypes if t == "string"]
+    out = events.withColumns({c: X.strip(F.col(c)) for c in texts})
+    fixed = {"label": F.lower("label"), "status": F.coalesce(F.nullif(F.lower("status"), F.lit("")), F.lit("pending")), "resolved_semantic_paper_id": X.normalize_paper_id(F.col("resolved_semantic_paper_id"))}
+    return out.withColumns({c: f for c, f in fixed.items() if c in events.columns})
+
+
+def file_labels(doc: dict, run: str) -> list[tuple[str, str, str, int, str, str, str]]:
+    """Entries (item_id, label, at, pos, semantic_paper_id, title, url) of a reviewer's file, in order.
+
+    The file must name the manifest's run, a reviewer and a time of review; entries without a time take the file's."""
+    if str(doc.get("run_id") or "").strip() != run:
+        raise ValueError("run_id of the file is not that of the manifest")
+    at = str(doc.get("reviewed_at") or "").strip()
+    if not str(doc.get("reviewer") or "").strip() or not at:
+        raise ValueError("reviewer and reviewed_at are needed")
+    text = lambda e, k: str(e.get(k) or "").strip()
+    entries = [e for e in doc.get("labels") or [] if isinstance(e, dict)]
+    return [(text(e, "item_id"), text(e, "label").lower(), text(e, "reviewed_at") or at, i, text(e, "semantic_paper_id"), text(e, "title"), text(e, "url")) for i, e in enumerate(entries)]

@@ -86,3 +86,18 @@ def with_head(page: str, extra: str) -> str:
     """The page with `extra` before the first </head>, or in front if there is none."""
     at = page.lower().find("</head>")
     return page[:at] + extra + page[at:] if at >= 0 else extra + page
+
+
+def after_body(page: str, extra: str) -> str:
+    """The page with `extra` behind its first <body ...>, or unchanged if it has none."""
+    import re
+
+    m = re.search(r"<body[^>]*>", page, re.I)
+    return page[: m.end()] + extra + page[m.end() :] if m else page
+
+
+def flagged(items: DataFrame, done: DataFrame, name: str = "has_pdf") -> DataFrame:
+    """Items with a flag that says whether their identity is in `done` (a column `identity`)."""
+    key = F.coalesce(F.nullif(F.col("arxiv_id"), F.lit("")), F.col("url"))
+    x = items.withColumn("_i", key).join(done.select(F.col("identity").alias("_i"), F.lit(True).alias("_f")).distinct(), "_i", "left")
+    return x.withColumn(name, F.coalesce("_f", F.lit(False))).drop("_i", "_f")

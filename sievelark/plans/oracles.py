@@ -155,6 +155,10 @@ ORACLES: dict[str, str] = {
     "prompt_blocks": f"""SELECT item_ord, batch_id, chr(10) || 'Paper ' || pos || ':' || chr(10) || 'Title: ' || coalesce(title, '') || chr(10) || 'Authors: ' || {names_line(True)} || chr(10) || 'Abstract: ' || left(coalesce(abstract, ''), 600) || '...' || chr(10) || 'Categories: ' ||
  CASE WHEN len(categories) > 0 THEN array_to_string(categories[1:3], ', ') ELSE 'N/A' END AS block FROM ({BATCH})""",
     "report_lines": f"SELECT item_ord, row_number() OVER (ORDER BY item_ord) || '. ' || coalesce(title, '') || chr(10) || '   Authors: ' || {names_line(False)} || chr(10) || '   URL: ' || coalesce(url, '') AS line FROM papers",
+    "blog_lines": "SELECT post_id AS item_ord, row_number() OVER (ORDER BY post_id) || '. ' || coalesce(title, '') || chr(10) || '   Source: ' || coalesce(source_name, 'Unknown') || chr(10) || '   URL: ' || coalesce(url, '') || chr(10) || '   Content: ' || CASE WHEN coalesce(content, '') = '' THEN 'No content preview' ELSE left(content, 500) END || '...' AS line FROM blog_posts",
+    "event_normalize": f"SELECT event_id, lower({strip('label')}) AS label, coalesce(nullif(lower({strip('status')}), ''), 'pending') AS status, {strip('reviewer')} AS reviewer, {paper_id('resolved_semantic_paper_id')} AS paper_id, {strip('error')} AS error FROM ({EVENTS})",
+    "run_report": "SELECT run_id, length(report_html)::BIGINT AS length FROM feedback_runs WHERE run_id = (SELECT min(run_id) FROM feedback_runs)",
+    "pdf_flags": f"SELECT source, {IDENTITY} IN (SELECT {IDENTITY} FROM papers WHERE source = 'arxiv') AS has_pdf, count(*) AS n_rows FROM papers GROUP BY 1, 2",
     "item_json": "SELECT item_ord, title, length(abstract)::BIGINT AS abstract_length, coalesce(source, 'manual') AS source, arxiv_id FROM papers",
     "props_json": "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS k FROM events",
     "memory_keys": f"SELECT item_ord, key FROM ({KEYS})",

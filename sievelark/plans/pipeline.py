@@ -86,3 +86,27 @@ def apply_files(spark: SparkSession, events: str, manifests: str, seeds: str, dr
     store.write(after, dry_run)
     sizes = {r.polarity: r["count"] for r in after.groupBy("polarity").count().collect()}
     return out | {"positive": sizes.get("positive", 0), "negative": sizes.get("negative", 0)}
+
+
+def apply_label_file(spark: SparkSession, labels: str, manifest_path: str, seeds: str, dry_run: bool = False) -> dict[str, int]:
+    """Folds one reviewer's label file into the versioned seeds: entries are matched by item, else by paper id, else by title and address; the last of a paper wins."""
+    from sievelark.operators import feedback
+    from sievelark.operators.recall import known_label
+    from sievelark.sources import state
+
+    shown = state.load_object(spark, manifest_path)
+    run = str(shown.get("run_id") or "").strip()
+    rows = feedback.file_labels(state.load_object(spark, labels), run)
+    store = state.Versioned(spark, seeds)
+    old = store.read()
+    old = spark.createDataFrame([], "paper_id string, polarity string") if old is None else old
+    entries = spark.createDataFrame(rows, "item_id string, label string, at string, k int, semantic_paper_id string, title string, url string")
+    text = lambda e, k: str(e.get(k) or "").strip()
+    known = [(text(e, "item_id"), text(e, "title"), text(e, "url"), text(e, "semantic_paper_id"), i) for i, e in enumerate(shown.get("papers") or [])]
+    known = spark.createDataFrame(known, "item_id string, title string, url string, semantic_paper_id string, pos int").withColumn("semantic_paper_id", X.normalize_paper_id(F.col("semantic_paper_id")))
+    found = cut(feedback.label_cascade(entries, known).withColumn("known", known_label()))
+    good = found.where("known is not null and nullif(paper_id, '') is not null").select("paper_id", F.col("known").alias("label"), "at", "k")
+    decided = cut(feedback.latest_labels(good, ["paper_id"], [F.col("at").try_cast("timestamp"), F.col("k")]))
+    after = cut(feedback.merge_seeds(old, decided))
+    store.write(after, dry_run)
+    return {"entries": found.count(), "applied": decided.count(), "invalid": found.where("known is null").count(), "skipped": found.where("known is not null and nullif(paper_id, '') is null").count()}

@@ -268,6 +268,29 @@ def report_lines(s, d):
     return b.select("item_ord", X.report_line(F.col("n"), F.col("title"), F.col("authors"), F.col("url")).alias("line"))
 
 
+@query
+def blog_lines(s, d):
+    b = recall.numbered(schema.blog_items(_posts(s, d)), [F.col("item_ord")], "n")
+    return b.select("item_ord", X.blog_line(F.col("n"), F.col("title"), F.col("blog_source"), F.col("url"), F.col("abstract")).alias("line"))
+
+
+@query
+def event_normalize(s, d):
+    return feedback.normalized(_events(s, d)).select("event_id", "label", "status", "reviewer", F.col("resolved_semantic_paper_id").alias("paper_id"), "error")
+
+
+@query
+def run_report(s, d):
+    first = _runs(s, d).agg(F.min("run_id").alias("run_id"))
+    return _runs(s, d).join(first, "run_id", "left_semi").select("run_id", F.length("report_html").cast("bigint").alias("length"))
+
+
+@query
+def pdf_flags(s, d):
+    done = _papers(s, d).where("source = 'arxiv'").select(recall.identity().alias("identity"))
+    return report.flagged(_papers(s, d), done).groupBy("source", "has_pdf").agg(n_().alias("n_rows"))
+
+
 @query
 def item_json(s, d):
     kept = F.struct("title", "abstract", "url", "source", "arxiv_id", "semantic_paper_id")

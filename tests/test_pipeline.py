@@ -64,3 +64,23 @@ def test_fresh_keys(spark, tmp_path):
     src = S.source(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema)
     got = sorted((r.k, str(r.ts)[:10], r.fresh) for r in S.run_once(S.fresh_keys(src, "k", "ts", 30)).collect())
     assert got == [("a", "2026-01-01", True), ("a", "2026-01-05", False), ("a", "2026-02-20", True), ("b", "2026-01-01", True)]
+
+
+def test_label_file(spark, tmp_path):
+    man = {"run_id": "run-1", "papers": [{"item_id": "p01", "semantic_paper_id": "111", "title": "One", "url": "https://a.example/1"}, {"item_id": "p02", "semantic_paper_id": "CorpusId:222", "title": "Two", "url": "https://a.example/2/"}]}
+    lab = {"run_id": "run-1", "reviewer": "x", "reviewed_at": "2026-02-21T10:00:00Z", "labels": [
+        {"item_id": "p01", "label": "positive", "reviewed_at": "2026-02-21T10:00:00Z"}, {"item_id": "p01", "label": "Negative", "reviewed_at": "2026-02-21T11:00:00Z"}, {"semantic_paper_id": "222", "label": "positive"},
+        {"title": " two ", "url": "HTTPS://A.example/2?x=1", "label": "positive"}, {"item_id": "p09", "label": "positive"}, {"item_id": "p01", "label": "bad"}]}
+    (tmp_path / "m.json").write_text(json.dumps(man))
+    (tmp_path / "l.json").write_text(json.dumps(lab))
+    args = (str(tmp_path / "l.json"), str(tmp_path / "m.json"), str(tmp_path / "s"))
+    assert pipeline.apply_label_file(spark, *args) == {"entries": 6, "applied": 2, "invalid": 1, "skipped": 1}
+    assert {tuple(r) for r in Versioned(spark, str(tmp_path / "s")).read().collect()} == {("CorpusId:111", "negative"), ("CorpusId:222", "positive")}
+    lab["labels"] = [{"item_id": "p01", "label": "undecided"}, {"item_id": "p02", "label": "undecided"}]
+    (tmp_path / "l.json").write_text(json.dumps(lab))
+    pipeline.apply_label_file(spark, *args)
+    assert Versioned(spark, str(tmp_path / "s")).read().count() == 0
+    for wrong in ({"run_id": "run-2"}, {"reviewer": " "}, {"reviewed_at": ""}):
+        (tmp_path / "l.json").write_text(json.dumps(lab | wrong))
+        with pytest.raises(ValueError):
+            pipeline.apply_label_file(spark, *args)
