@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,8 +26,23 @@ def build_session(app: str = "sievelark", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors' Python, once a context, so it need not be installed there."""
+    sc = spark.sparkContext
+    if getattr(sc, "_sievelark_shipped", False):
+        return
+    here = Path(__file__).parent
+    target = Path(tempfile.mkdtemp(prefix="sievelark-")) / "sievelark.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(here.rglob("*.py")):
+            z.write(f, f.relative_to(here.parent))
+    sc.addPyFile(str(target))
+    sc._sievelark_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A parquet table; times without zone are read as they are stored."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -46,6 +63,7 @@ def cut(df: DataFrame) -> DataFrame:
     """`df` computed once and stored in the shared folder, so no later step recomputes it
     and a lost executor loses nothing."""
     spark = df.sparkSession
+    ship(spark)
     jsc = spark.sparkContext._jsc
     if not jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
@@ -64,6 +82,7 @@ def fan_out(df: DataFrame, factor: int = 4) -> DataFrame:
     that the scan already splits finely enough (by the planner's size of them) are left as they
     are: large ones are never shuffled for this."""
     spark = df.sparkSession
+    ship(spark)
     want = max(spark.sparkContext.defaultParallelism, 2) * factor
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     split = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
