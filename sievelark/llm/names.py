@@ -57,6 +57,11 @@ NICKNAMES = {
     "timothy": "tim timmy", "victoria": "vicky tori vic vicki", "walter": "walt wally", "william": "will bill billy willy liam", "zachary": "zach zack zac", "james": "jim jimmy jamie", "john": "jack johnny", "dorothy": "dot dottie", "virginia": "ginny",
     "ronald": "ron ronnie", "donald": "don donny", "kenneth": "ken kenny", "raymond": "ray", "catherine": "cathy cate", "philip": "phil pip", "peter": "pete", "henry": "hank", "francis": "frank", "albert": "al bert",
 }
+#: Given names that are one or two letters from another: never slips of each other.
+CLOSE = (
+    "alexander alexandra andrea andreas anton antonia carl carla christian christiana claudia claudio daniel daniela emil emilia eric erica erik erika gabriel gabriela henrik henrike jan jana johan johanna julia julian juliana julio karl karla "
+    "louis louisa maria mario marta martha martin martina michael michaela oliver olivia paul paula robert roberta simon simona simone stefan stefania valentin valentina victor victoria"
+).split()
 _PLAIN = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ı": "i", "’": "'", "‐": "-", "‑": "-", "–": "-"})
 
 
@@ -137,7 +142,7 @@ class Reader:
         for full, short in NICKNAMES.items():
             for s in short.split():
                 self.short[s].add(full)
-        self.given = set(given) | set(NICKNAMES)
+        self.given = set(given) | set(NICKNAMES) | set(CLOSE)
         self.topics = sorted(set(topics))
         self.near = defaultdict(set)
         for g in self.given:
