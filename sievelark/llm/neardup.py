@@ -1,18 +1,18 @@
 """Near-duplicate texts by anchor-point covering.
 
-A text is the set of its runs of SHINGLE words. Its fingerprint is CODES vectors of N = 4
+A text is the set of its runs of SHINGLE words. Its fingerprint is CODES vectors of N = 5
 min-hashes over the field of P elements. Anchors are the words of the single-parity-check code
 of that length (all vectors whose coordinates sum to zero): its covering radius is 1, and the
 anchors within the radius of a vector are the N vectors got by changing one coordinate so that
 the sum is zero. Two vectors that differ in at most one coordinate meet at an anchor, as both
 give the same word when the differing coordinate is the changed one, so replication to the
 radius suffices for a threshold of one differing coordinate; one of CODES independent vectors has
-to meet it. A pair of likeness s is missed with probability (1 - 4s^3 + 3s^4)^CODES: 3e-3 at 0.5,
-2e-4 at 0.62, 1e-6 at 0.75. At each anchor, texts are compared by BITS one-bit min-hashes, and
-survivors by their whole shingle sets.
+to meet it. A pair of likeness s is missed with probability (1 - 5s^4 + 4s^5)^CODES: 7e-3 at 0.5,
+1e-5 at 0.62, 1e-9 at 0.75; an unlike pair of 0.03 meets once in ten thousand. At each anchor,
+texts are compared by BITS one-bit min-hashes, and survivors by their whole shingle sets.
 
 Exact copies (equal shingle sets) are one representative before fingerprints are replicated, so
-a third of all rows being one text is one row here. Per representative 4 * CODES rows of 24 bytes
+a third of all rows being one text is one row here. Per representative N * CODES rows of 24 bytes
 are shuffled; candidates are joined to shingle sets by id. No bucket is collected: anchors are
 joined, and adaptive execution splits skewed ones.
 
@@ -35,17 +35,17 @@ from sievelark.operators.components import connected_components
 from sievelark.session import cut, fan_out, table
 
 SHINGLE, LIKENESS = 3, 0.5
-#: Independent fingerprint vectors; each has 4 coordinates and so 4 anchors.
-CODES = 20
+#: Independent fingerprint vectors, and their coordinates, each giving one anchor.
+CODES, N = 24, 5
 #: One-bit min-hashes compared at an anchor, and the most that may differ (four deviations above the mean at likeness 0.5).
 BITS, APART = 64, 30
 P = (1 << 31) - 1
 _WORD = re.compile(r"[^\W_]+")
 _RNG = np.random.default_rng(20240229)
-_MUL = _RNG.integers(1, 1 << 63, size=4 * CODES + BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 63, size=4 * CODES + BITS, dtype=np.uint64)
+_MUL = _RNG.integers(1, 1 << 63, size=N * CODES + BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _RNG.integers(0, 1 << 63, size=N * CODES + BITS, dtype=np.uint64)
 _POS = _RNG.integers(1, 1 << 63, size=16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_MIX = _RNG.integers(1, 1 << 63, size=(CODES, 4), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_MIX = _RNG.integers(1, 1 << 63, size=(CODES, N), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -98,7 +98,7 @@ def anchors_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             if not len(b):
                 continue
-            lows = np.empty((len(b), 4 * CODES + BITS), np.uint64)
+            lows = np.empty((len(b), N * CODES + BITS), np.uint64)
             for i, s in enumerate(b["sh"]):
                 h = np.asarray(s, np.int64).view(np.uint64)
                 low = None
@@ -106,14 +106,14 @@ def anchors_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     part = (h[at : at + 4096, None] * _MUL[None, :] + _ADD[None, :]).min(axis=0)
                     low = part if low is None else np.minimum(low, part)
                 lows[i] = low
-            bits = (mix(lows[:, 4 * CODES :]) & np.uint64(1)) << np.arange(BITS, dtype=np.uint64)[None, :]
+            bits = (mix(lows[:, N * CODES :]) & np.uint64(1)) << np.arange(BITS, dtype=np.uint64)[None, :]
             bits = bits.sum(axis=1, dtype=np.uint64).view(np.int64)
-            x = (mix(lows[:, : 4 * CODES]) % np.uint64(P)).reshape(-1, CODES, 4)
+            x = (mix(lows[:, : N * CODES]) % np.uint64(P)).reshape(-1, CODES, N)
             total = x.sum(axis=2)
             reps, out_a, out_r, out_b = b["rep"].to_numpy(), [], [], []
-            for i in range(4):
+            for i in range(N):
                 word = x.copy()
-                word[:, :, i] = (np.uint64(P) * np.uint64(4) - (total - x[:, :, i])) % np.uint64(P)
+                word[:, :, i] = (np.uint64(P) * np.uint64(N) - (total - x[:, :, i])) % np.uint64(P)
                 key = mix((word * _MIX[None, :, :]).sum(axis=2, dtype=np.uint64)).view(np.int64)
                 out_a.append(key.ravel())
                 out_r.append(np.repeat(reps, CODES))

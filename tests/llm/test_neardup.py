@@ -54,11 +54,11 @@ def test_empty_and_long(spark, tmp_path):
 
 def test_anchors_of_vectors_that_differ_in_one_coordinate_meet():
     rng = np.random.default_rng(1)
-    x = rng.integers(0, N.P, size=4, dtype=np.uint64)
+    x = rng.integers(0, N.P, size=N.N, dtype=np.uint64)
     y = x.copy()
     y[2] = rng.integers(0, N.P)
 
     def words(v):
-        return {tuple(int(z) if j != i else (4 * N.P - (int(v.sum()) - int(v[i]))) % N.P for j, z in enumerate(v)) for i in range(4)}
+        return {tuple(int(z) if j != i else (N.N * N.P - (int(v.sum()) - int(v[i]))) % N.P for j, z in enumerate(v)) for i in range(N.N)}
 
     assert words(x) & words(y) and all(sum(w) % N.P == 0 for w in words(x) | words(y))
