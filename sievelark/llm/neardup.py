@@ -9,7 +9,8 @@ give the same word when the differing coordinate is the changed one, so replicat
 radius suffices for a threshold of one differing coordinate; one of CODES independent vectors has
 to meet it. A pair of likeness s is missed with probability (1 - 5s^4 + 4s^5)^CODES: 7e-3 at 0.5,
 1e-5 at 0.62, 1e-9 at 0.75; an unlike pair of 0.03 meets once in ten thousand. At each anchor,
-texts are compared by BITS one-bit min-hashes, and survivors by their whole shingle sets.
+texts are compared by BITS one-bit min-hashes, the survivors once by MORE of them, and what is
+left by whole shingle sets.
 
 Exact copies (equal shingle sets) are one representative before fingerprints are replicated, so
 a third of all rows being one text is one row here. Per representative N * CODES rows of 24 bytes
@@ -37,13 +38,15 @@ from sievelark.session import cut, fan_out, table
 SHINGLE, LIKENESS = 3, 0.5
 #: Independent fingerprint vectors, and their coordinates, each giving one anchor.
 CODES, N = 24, 5
-#: One-bit min-hashes compared at an anchor, and the most that may differ (four deviations above the mean at likeness 0.5).
-BITS, APART = 64, 30
+#: One-bit min-hashes compared at an anchor, and the most that may differ (3.5 deviations above the mean at likeness 0.5).
+BITS, APART = 64, 28
+#: Further ones compared once a candidate pair, and the most of all that may differ (4.5 deviations above).
+MORE, ALL_APART = 128, 75
 P = (1 << 31) - 1
 _WORD = re.compile(r"[^\W_]+")
 _RNG = np.random.default_rng(20240229)
-_MUL = _RNG.integers(1, 1 << 63, size=N * CODES + BITS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_ADD = _RNG.integers(0, 1 << 63, size=N * CODES + BITS, dtype=np.uint64)
+_MUL = _RNG.integers(1, 1 << 63, size=N * CODES + BITS + MORE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _RNG.integers(0, 1 << 63, size=N * CODES + BITS + MORE, dtype=np.uint64)
 _POS = _RNG.integers(1, 1 << 63, size=16, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _MIX = _RNG.integers(1, 1 << 63, size=(CODES, N), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -92,22 +95,31 @@ def shingle_sets(df: DataFrame, text: Column, size: int = SHINGLE) -> DataFrame:
     return fan_out(df.select("id", text.alias("text"))).mapInPandas(run, "id bigint, copy_key bigint, sh array<bigint>")
 
 
+def lowest(sets: pd.Series, first: int, last: int) -> np.ndarray:
+    """The min-hashes number first to last of each set."""
+    out = np.empty((len(sets), last - first), np.uint64)
+    for i, s in enumerate(sets):
+        h = np.asarray(s, np.int64).view(np.uint64)
+        low = None
+        for at in range(0, len(h), 4096):
+            part = (h[at : at + 4096, None] * _MUL[None, first:last] + _ADD[None, first:last]).min(axis=0)
+            low = part if low is None else np.minimum(low, part)
+        out[i] = low
+    return out
+
+
+def packed_bits(lows: np.ndarray) -> list[np.ndarray]:
+    """One bit a min-hash, 64 to a number."""
+    bits = (mix(lows) & np.uint64(1)).reshape(len(lows), -1, 64) << np.arange(64, dtype=np.uint64)[None, None, :]
+    return [x.view(np.int64) for x in np.ascontiguousarray(bits.sum(axis=2, dtype=np.uint64).T)]
+
+
 def anchors_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """(anchor, rep, bits) for each anchor within the covering radius of each of the rep's vectors."""
     with np.errstate(over="ignore"):
-        for b in batches:
-            if not len(b):
-                continue
-            lows = np.empty((len(b), N * CODES + BITS), np.uint64)
-            for i, s in enumerate(b["sh"]):
-                h = np.asarray(s, np.int64).view(np.uint64)
-                low = None
-                for at in range(0, len(h), 4096):
-                    part = (h[at : at + 4096, None] * _MUL[None, :] + _ADD[None, :]).min(axis=0)
-                    low = part if low is None else np.minimum(low, part)
-                lows[i] = low
-            bits = (mix(lows[:, N * CODES :]) & np.uint64(1)) << np.arange(BITS, dtype=np.uint64)[None, :]
-            bits = bits.sum(axis=1, dtype=np.uint64).view(np.int64)
+        for b in filter(len, batches):
+            lows = lowest(b["sh"], 0, N * CODES + BITS)
+            bits = packed_bits(lows[:, N * CODES :])[0]
             x = (mix(lows[:, : N * CODES]) % np.uint64(P)).reshape(-1, CODES, N)
             total = x.sum(axis=2)
             reps, out_a, out_r, out_b = b["rep"].to_numpy(), [], [], []
@@ -121,13 +133,25 @@ def anchors_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"anchor": np.concatenate(out_a), "rep": np.concatenate(out_r), "bits": np.concatenate(out_b)})
 
 
-def near_pairs(reps: DataFrame, likeness: float = LIKENESS, apart: int = APART) -> DataFrame:
+def sketches_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(rep, s0, s1): the MORE one-bit min-hashes of each rep."""
+    with np.errstate(over="ignore"):
+        for b in filter(len, batches):
+            s0, s1 = packed_bits(lowest(b["sh"], N * CODES + BITS, N * CODES + BITS + MORE))
+            yield pd.DataFrame({"rep": b["rep"].to_numpy(), "s0": s0, "s1": s1})
+
+
+def near_pairs(reps: DataFrame, likeness: float = LIKENESS, apart: int = APART, all_apart: int = ALL_APART) -> DataFrame:
     """(a, b, likeness) with a < b for all representatives (rep, sh) at least `likeness` alike."""
     placed = reps.mapInPandas(anchors_of, "anchor bigint, rep bigint, bits bigint")
     x = placed.select("anchor", F.col("rep").alias("a"), F.col("bits").alias("x"))
     y = placed.select("anchor", F.col("rep").alias("b"), F.col("bits").alias("y"))
-    met = x.join(y, "anchor").where((F.col("a") < F.col("b")) & (F.bit_count(F.col("x").bitwiseXOR(F.col("y"))) <= apart))
-    met = cut(met.select("a", "b").distinct())
+    differ = lambda u, v: F.bit_count(F.col(u).bitwiseXOR(F.col(v)))
+    met = x.join(y, "anchor").where(F.col("a") < F.col("b")).select("a", "b", differ("x", "y").alias("d")).where(F.col("d") <= apart).distinct()
+    sketch = cut(reps.mapInPandas(sketches_of, "rep bigint, s0 bigint, s1 bigint"))
+    side = lambda k, u: sketch.select(F.col("rep").alias(k), F.col("s0").alias(u + "0"), F.col("s1").alias(u + "1"))
+    met = met.join(side("a", "u"), "a").join(side("b", "v"), "b").where(F.col("d") + differ("u0", "v0") + differ("u1", "v1") <= all_apart)
+    met = cut(met.select("a", "b"))
     a, b = reps.select(F.col("rep").alias("a"), F.col("sh").alias("sa")), reps.select(F.col("rep").alias("b"), F.col("sh").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     exact = met.join(a, "a").join(b, "b").withColumn("both", both)
