@@ -2,7 +2,8 @@
 
 1. Site templates: each text is split into blocks (element subtrees of HTML and, inside lists,
    their items; paragraphs between blank lines elsewhere). Blocks are hashed and counted per host
-   over all rows; those on at least SHARE of a host's pages and on MIN_PAGES pages are templates and
+   over its pages: a page delivered again counts once, as its longest text, and so does a text under
+   several urls. Those on at least SHARE of a host's pages and on MIN_PAGES pages are templates and
    are deleted from that host's texts.
 2. Structure: code blocks and formulas are taken out first (nothing inside them is markup), then
    headings and list items of HTML, Markdown, wiki and LaTeX. Only complete elements count: one
@@ -29,6 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievelark.llm.history import page_of
 from sievelark.session import cut, fan_out, table
 
 #: Least share of a host's pages, and least number of pages, that a template block recurs on.
@@ -248,26 +250,34 @@ def without(text: str, templates: frozenset[int]) -> str:
 
 
 def marked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(tbl, row_key, host, text) of the fields that carry markup."""
+    """(tbl, row_key, host, url, text) of the fields that carry markup."""
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z]+://([^/:?#]+)", 1))
-    p = table(spark, sf_dir, "papers").select(F.lit("papers").alias("tbl"), F.col("item_ord").cast("string").alias("row_key"), host.alias("host"), F.col("abstract").alias("text"))
-    b = table(spark, sf_dir, "blog_posts").select(F.lit("blog_posts").alias("tbl"), F.col("post_id").cast("string").alias("row_key"), host.alias("host"), F.col("content").alias("text"))
-    r = table(spark, sf_dir, "feedback_runs").select(F.lit("feedback_runs").alias("tbl"), F.col("run_id").alias("row_key"), F.lit("").alias("host"), F.col("report_html").alias("text"))
+    p = table(spark, sf_dir, "papers").select(F.lit("papers").alias("tbl"), F.col("item_ord").cast("string").alias("row_key"), host.alias("host"), "url", F.col("abstract").alias("text"))
+    b = table(spark, sf_dir, "blog_posts").select(F.lit("blog_posts").alias("tbl"), F.col("post_id").cast("string").alias("row_key"), host.alias("host"), "url", F.col("content").alias("text"))
+    r = table(spark, sf_dir, "feedback_runs").select(F.lit("feedback_runs").alias("tbl"), F.col("run_id").alias("row_key"), F.lit("").alias("host"), F.lit(None).cast("string").alias("url"), F.col("report_html").alias("text"))
     return p.unionByName(b).unionByName(r).where("text is not null")
 
 
 def block_hashes(texts: DataFrame) -> DataFrame:
-    """(tbl, row_key, host, hashes): the different block hashes of each row."""
+    """(tbl, row_key, host, page, whole, length, hashes): the different block hashes of each row, the hash of
+    the page that its url opens (of its text without one), hash and length of its text."""
+    if "url" not in texts.columns:
+        texts = texts.withColumn("url", F.lit(None).cast("string"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in filter(len, batches):
-            yield pd.DataFrame({"tbl": b["tbl"], "row_key": b["row_key"], "host": b["host"], "hashes": [sorted({h for _, _, h in blocks(t)}) for t in b["text"]]})
+            whole = [xxhash.xxh3_64_intdigest(t) - (1 << 63) for t in b["text"]]
+            page = [w if (p := page_of(u)) is None else xxhash.xxh3_64_intdigest(p) - (1 << 63) for u, w in zip(b["url"], whole, strict=True)]
+            hashes = [sorted({h for _, _, h in blocks(t)}) for t in b["text"]]
+            yield pd.DataFrame({"tbl": b["tbl"], "row_key": b["row_key"], "host": b["host"], "page": page, "whole": whole, "length": b["text"].str.len(), "hashes": hashes})
 
-    return texts.mapInPandas(run, "tbl string, row_key string, host string, hashes array<bigint>")
+    return texts.mapInPandas(run, "tbl string, row_key string, host string, page bigint, whole bigint, length int, hashes array<bigint>")
 
 
-def template_hashes(of_page: DataFrame, share: float = SHARE, least: int = MIN_PAGES) -> DataFrame:
-    """(tbl, host, hash) of the blocks that recur on a host's pages."""
+def template_hashes(of_row: DataFrame, share: float = SHARE, least: int = MIN_PAGES) -> DataFrame:
+    """(tbl, host, hash) of the blocks that recur on a host's pages, each page and each whole text counted once."""
+    of_page = of_row.groupBy("tbl", "host", "page").agg(F.max(F.struct("length", "whole", "hashes")).alias("of"))
+    of_page = cut(of_page.groupBy("tbl", "host", F.col("of.whole").alias("whole")).agg(F.first("of.hashes").alias("hashes")))
     pages = of_page.groupBy("tbl", "host").agg(F.count("*").alias("n_pages"))
     each = of_page.select("tbl", "host", F.explode("hashes").alias("hash"))
     common = each.groupBy("tbl", "host", "hash").agg(F.count("*").alias("n")).where(F.col("n") >= least)
@@ -279,12 +289,12 @@ def with_templates(texts: DataFrame, most: int = BROADCAST) -> DataFrame:
 
     Up to `most` templates are sent to every task by host, so texts are not shuffled; beyond that
     the hashes of each row's own template blocks are joined by row key."""
-    of_page = cut(block_hashes(texts))
-    common = cut(template_hashes(of_page))
+    of_row = cut(block_hashes(texts))
+    common = cut(template_hashes(of_row))
     if common.count() <= most:
         by_host = common.groupBy("tbl", "host").agg(F.collect_set("hash").alias("templates"))
         return texts.join(F.broadcast(by_host), ["tbl", "host"], "left")
-    each = of_page.select("tbl", "row_key", "host", F.explode("hashes").alias("hash")).join(common, ["tbl", "host", "hash"])
+    each = of_row.select("tbl", "row_key", "host", F.explode("hashes").alias("hash")).join(common, ["tbl", "host", "hash"])
     return texts.join(each.groupBy("tbl", "row_key").agg(F.collect_set("hash").alias("templates")), ["tbl", "row_key"], "left")
 
 

@@ -74,6 +74,17 @@ def test_templates(spark, most):
     assert items == {"Item 3"}
 
 
+def test_redelivered_post_is_no_template(spark):
+    post = "<h2>Own head</h2><ul><li>own item</li></ul>"
+    rows = [("t", f"r{i}", "h", f"https://h/post?utm_source={i}", post) for i in range(8)] + [("t", f"e{i}", "h", "http://www.h/post/", post + f"<p>Edit {i}.</p>") for i in range(4)]
+    rows += [("t", f"m{i}", "m", f"https://m/mirror/{i}", post) for i in range(12)]
+    rows += [("t", f"o{i}", "h", f"https://h/other/{i}", f"<p>Other {i}.</p>") for i in range(4)]
+    rows += [("t", f"s{i}", "s", f"https://s/{i % 12}", f"<p>Own {i % 12}.</p><ul><li>Home</li></ul>") for i in range(40)]
+    df = spark.createDataFrame(rows, "tbl string, row_key string, host string, url string, text string")
+    got = {(r.row_key, r.element, r.content) for r in M.parsed(df, False).collect()}
+    assert got == {(r[1], *e) for r in rows if r[2] in ("h", "m") and post in r[4] for e in (("heading", "Own head"), ("list_item", "own item"))}
+
+
 def test_long_markup():
     p = M.Parsed("<p>word</p>" * 20_000 + "<li>" * 2_000 + "$" * 3_000 + "[" * 3_000 + "`" * 2_000)
     assert "word" in p.clean
