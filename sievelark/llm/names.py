@@ -40,6 +40,8 @@ K = 2
 HOT = 2000
 #: Least share of the distinct names that a vocabulary token has beside different partners, and least number.
 SHARE, LEAST = 0.0003, 4
+#: A surname in at most this share of the spellings, or of the rows, of a near one can be its slip: for one edit and for two.
+SLIP_SPELLINGS, SLIP_ROWS = {1: 0.4, 2: 0.2}, {1: 0.1, 2: 0.05}
 
 #: Fixed values.
 TITLES = {"dr", "prof", "professor", "phd", "md", "mr", "mrs", "ms", "msc", "sir", "jr", "sr", "dipl", "ing"}
@@ -207,7 +209,7 @@ class Reader:
 
 
 def read_names(names: DataFrame) -> DataFrame:
-    """(name, kind, key, options) of distinct names; vocabularies are counted over all of them."""
+    """(name, n_rows, kind, key, options) of distinct names; vocabularies are counted over all of them."""
     n = names.count()
     seen = names.mapInPandas(partners, "kind string, token string, partner string").distinct()
     vocab = seen.groupBy("kind", "token").agg(F.count("*").alias("n"))
@@ -217,10 +219,10 @@ def read_names(names: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(x, *r) for x in b["name"] if (r := reader.read(x)) is not None]
-            yield pd.DataFrame(rows, columns=["name", "kind", "key", "options"])
+            rows = [(x, n, *r) for x, n in zip(b["name"], b["n_rows"], strict=True) if (r := reader.read(x)) is not None]
+            yield pd.DataFrame(rows, columns=["name", "n_rows", "kind", "key", "options"])
 
-    return names.mapInPandas(run, "name string, kind string, key string, options array<string>")
+    return names.mapInPandas(run, "name string, n_rows bigint, kind string, key string, options array<string>")
 
 
 def segments(n: int) -> list[tuple[int, int]]:
@@ -299,44 +301,49 @@ def _one_swap(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def distinct_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The different strings of papers.authors.name and blog_posts.author."""
+    """(name, n_rows): the different strings of papers.authors.name and blog_posts.author and how often they are stored."""
     a = table(spark, sf_dir, "papers").select(F.explode("authors").alias("x")).select(F.col("x.name").alias("name"))
     b = table(spark, sf_dir, "blog_posts").select(F.col("author").alias("name"))
-    return a.unionByName(b).where("trim(coalesce(name, '')) <> ''").distinct()
+    return a.unionByName(b).where("trim(coalesce(name, '')) <> ''").groupBy("name").agg(F.count("*").alias("n_rows"))
 
 
 def slips(near: DataFrame, forms: DataFrame) -> DataFrame:
     """The near pairs of which one side can be a slip of the other.
 
-    forms: (block, s, n), how many different spellings use the string. One edit: not both are
-    established (in three spellings or more). Two edits: one side is in a single spelling and
-    both are long."""
-    a, b = forms.select("block", F.col("s").alias("a"), F.col("n").alias("na")), forms.select("block", F.col("s").alias("b"), F.col("n").alias("nb"))
+    forms: (block, s, n, n_rows), how many different spellings and how many rows use the string. One
+    edit: not both are established (in three spellings or more), or one is rare beside the other.
+    Two edits: one side is in a single spelling, or rare beside the other, and both are long."""
+    a, b = (forms.select("block", F.col("s").alias(x), F.col("n").alias("n" + x), F.col("n_rows").alias("rows_" + x)) for x in ("a", "b"))
     both = near.join(a, ["block", "a"]).join(b, ["block", "b"])
-    rare = F.least("na", "nb")
+    few, many, few_rows, many_rows = F.least("na", "nb"), F.greatest("na", "nb"), F.least("rows_a", "rows_b"), F.greatest("rows_a", "rows_b")
+    rare = lambda d, n: (few <= n) | (few <= SLIP_SPELLINGS[d] * many) | (few_rows <= SLIP_ROWS[d] * many_rows)
     long = F.least(F.length("a"), F.length("b"))
-    return both.where(((F.col("d") <= 1) & (rare <= 2)) | ((F.col("d") == 2) & (rare <= 1) & (long >= 10))).select("block", "a", "b", "d")
+    return both.where(((F.col("d") <= 1) & rare(1, 2)) | ((F.col("d") == 2) & rare(2, 1) & (long >= 10))).select("block", "a", "b", "d")
 
 
 def link_names(names: DataFrame) -> DataFrame:
-    """(name, entity) for every name that is not generic; equal entities name the same person or team."""
+    """(name, entity) for every name that is not generic; equal entities name the same person or team.
+
+    names: distinct names, with n_rows if it is known how often each is stored."""
+    if "n_rows" not in names.columns:
+        names = names.withColumn("n_rows", F.lit(1).cast("bigint"))
     read = cut(read_names(fan_out(names)))
     node = F.concat_ws("\t", F.col("kind"), F.col("key"), F.concat_ws(",", "options"))
     read = read.withColumn("node", node)
-    forms = cut(read.groupBy("node").agg(F.first("kind").alias("kind"), F.first("key").alias("key"), F.first("options").alias("options"), F.count("*").alias("n")))
-    full = forms.where("kind = 'full'").select("node", F.col("key").alias("s"), F.col("options")[0].alias("given"), "n")
-    counted = full.select(F.col("given").alias("block"), "s", "n")
+    forms = cut(read.groupBy("node").agg(F.first("kind").alias("kind"), F.first("key").alias("key"), F.first("options").alias("options"), F.count("*").alias("n"), F.sum("n_rows").alias("n_rows")))
+    full = forms.where("kind = 'full'").select("node", F.col("key").alias("s"), F.col("options")[0].alias("given"), "n", "n_rows")
+    counted = full.select(F.col("given").alias("block"), "s", "n", "n_rows")
     near = slips(segment_join(counted), counted)
     # distinct (given, surname) is a node of its own: the near pair names both ends
     name_of = lambda g, s: F.concat_ws("\t", F.lit("full"), s, g)
     links = near.select(name_of(F.col("block"), F.col("a")).alias("l"), name_of(F.col("block"), F.col("b")).alias("r"))
     roots = connected_components(links, "l", "r")
-    whole = cut(full.join(roots, full.node == roots.node, "left").select(full.node, "s", "given", "n", F.coalesce("root", full.node).alias("entity")))
+    whole = cut(full.join(roots, full.node == roots.node, "left").select(full.node, "s", "given", "n", "n_rows", F.coalesce("root", full.node).alias("entity")))
 
-    wanted = forms.where("kind = 'open'").select("node", F.col("key").alias("s"), F.explode("options").alias("opt"), "n")
-    wanted = wanted.select("node", "s", "opt", "n", F.substring("opt", 1, 1).alias("block"))
+    wanted = forms.where("kind = 'open'").select("node", F.col("key").alias("s"), F.explode("options").alias("opt"), "n", "n_rows")
+    wanted = wanted.select("node", "s", "opt", "n", "n_rows", F.substring("opt", 1, 1).alias("block"))
     real = whole.where("given not like 'team %' and given <> 'only'").withColumn("block", F.substring("given", 1, 1))
-    counted = wanted.select("block", "s", "n").unionByName(real.select("block", "s", "n")).groupBy("block", "s").agg(F.sum("n").alias("n"))
+    counted = wanted.select("block", "s", "n", "n_rows").unionByName(real.select("block", "s", "n", "n_rows")).groupBy("block", "s").agg(F.sum("n").alias("n"), F.sum("n_rows").alias("n_rows"))
     around = slips(segment_join(counted), counted)
     around = around.unionByName(around.select("block", F.col("b").alias("a"), F.col("a").alias("b"), "d"))
     same = wanted.select("block", F.col("s").alias("a"), F.col("s").alias("b"), F.lit(0).alias("d")).distinct()

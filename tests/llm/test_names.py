@@ -70,6 +70,25 @@ def test_links(spark):
     assert sum(v == got["Plato"] for v in got.values()) == 1
 
 
+def spelled(given, surname):
+    full = f"{given} {surname}"
+    return [full, f"{surname}, {given}", full.lower(), full.upper(), f"Dr. {full}", f"{full}, PhD", f"{surname} {given}", f"Prof. {full}", f"{given} M. {surname}", f"{given.lower()}.{surname.lower()}"]
+
+
+def test_slip_in_several_spellings(spark):
+    right, slip, two = spelled("Abigail", "Zumberdotal"), spelled("Abigail", "Zumbedrotal")[:4], spelled("Abigail", "Zumbexdotax")[:2]
+    other = spelled("Abigail", "Numberdotal")[:5]
+    saturated = [spelled("Barbara", "Gelmarostin"), spelled("Barbara", "Gelmraostin"), spelled("Barbara", "Gelmarostix")]
+    opens = [f"T. {x}" for x in ("Kavolimert",)] + ["T Kavolimetr", "Kavolimetr, T.", "t. kavolimetr"]
+    theodor = spelled("Theodore", "Kavolimert")
+    rows = [(n, 1) for n in right + slip + two + other + opens + theodor] + [(n, 900) for n in saturated[0]] + [(n, 9) for n in saturated[1]] + [(n, 500) for n in saturated[2]]
+    got = {r["name"]: r["entity"] for r in N.link_names(spark.createDataFrame(rows, "name string, n_rows bigint")).collect()}
+    of = lambda names: {got[n] for n in names}
+    assert len(of(right + slip + two)) == 1 and len(of(opens + theodor)) == 1
+    assert len(of(other)) == 1 and of(other) != of(right)
+    assert len(of(saturated[0] + saturated[1])) == 1 and of(saturated[2]) != of(saturated[0])
+
+
 def test_nothing(spark):
     assert N.link_names(spark.createDataFrame([], "name string")).count() == 0
 
