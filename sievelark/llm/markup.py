@@ -52,7 +52,7 @@ _FORMULA = re.compile(
     r"|\$\$(?P<dd>.+?)\$\$|\\\[(?P<br>.+?)\\\]|\\\((?P<pa>.+?)\\\)"
     r"|\\begin\{(?P<e>(?:equation|align|gather|multline|eqnarray|displaymath|math)\*?)\}(?P<env>.+?)\\end\{(?P=e)\}"
     r"|<math\b[^>]*>(?P<m>.+?)</math\s*>"
-    r"|(?<![\\$\w])\$(?P<d>(?![\s$])[^$\n]{0,400}?(?<![\s\\$]))\$(?![\d$])",
+    r"|(?<![\\$\w])\$(?P<d>(?![\s$])(?:[^$\n]|\n(?![ \t]*(?:\n|(?:[-*#]+|\d+[.)])[ \t])))+?(?<![\s\\$]))\$(?![\d$])",
     re.S | re.I,
 )
 _HEAD = re.compile(r"<h([1-6])\b[^>]*>(.*?)</h\1\s*>", re.S | re.I)
@@ -66,6 +66,9 @@ _LINE = re.compile(
     r"|^[ ]{0,3}(?:[-+]|\*+|\d{1,3}[.)])[ \t]+(?P<li>\S[^\n]*)$",
     re.M,
 )
+#: Items that only a list before them tells from code and prose: indented deeper, or numbered with more digits.
+_NESTED = re.compile(r"^(?:(?:[ ]{4,}|[ ]{0,3}\t)[ \t]*(?:[-+]|\*+|\d{1,9}[.)])|[ ]{0,3}\d{4,9}[.)])[ \t]+(?=\S)", re.M)
+_ITEM_LINE = re.compile(r"[ ]{0,3}(?:[-+]|\*+|\d{1,3}[.)])[ \t]+\S")
 _HOLD = re.compile("\x00(\\d+)\x01")
 #: Signs without which a text has no markup of any kind.
 _SIGN = re.compile(r"[<>\\$`#*=\[\]&_~\x00]|''|^[ ]{0,3}(?:[-+]|\d{1,3}[.)])[ \t]|^-{3,}", re.M)
@@ -98,6 +101,25 @@ def inline(s: str) -> str:
     return unescape(s)
 
 
+def nested(t: str) -> str:
+    """Nested list items written without their indentation.
+
+    A list lasts to a heading or to an unindented line after a blank one."""
+    if not _NESTED.search(t):
+        return t
+    out, in_list, blank = [], False, False
+    for line in t.split("\n"):
+        if _ITEM_LINE.match(line):
+            in_list = True
+        elif in_list and (m := _NESTED.match(line)):
+            line = "- " + line[m.end() :]
+        elif line.startswith("#") or (blank and line[:1].strip()):
+            in_list = False
+        blank = not line.strip()
+        out.append(line)
+    return "\n".join(out)
+
+
 class Parsed:
     """elements: (kind, content, open) in no order; open: the element ends with the text, so a cut cannot be seen. clean: the clean text."""
 
@@ -118,7 +140,7 @@ class Parsed:
         t = _HEAD.sub(lambda m: self.block("heading", m[2]), t)
         t = self.lists(t)
         t = _TEX_HEAD.sub(lambda m: self.block("heading", m[1]), t)
-        t = self.tex_lists(t)
+        t = nested(self.tex_lists(t))
         end = len(t.rstrip())
         t = _LINE.sub(lambda m: self.line(m, end, bool(self.rest)), t)
         self.clean = self.assemble(t)

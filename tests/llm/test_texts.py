@@ -59,6 +59,19 @@ def test_elements(text, want):
     assert {(k, c) for k, c, _ in M.Parsed(text).elements} == want
 
 
+def test_long_formulas_and_nested_items():
+    long = "x_{1} + " * 100 + "y"
+    texts = {
+        f"Let ${long}$ be.": {("formula", long)},
+        "Let $a +\n b$ be, for $5 now\nand $6 later.": {("formula", "a +\n b")},
+        "a $5\n\nb$ c": set(),
+        "- one\n    - two\n\t* three\n        1. four\n\n    - five\n\nEnd.": {("list_item", x) for x in ("one", "two", "three", "four", "five")},
+        "999. a\n1000. b\n\nText\n    - code\nsince\n2019. We": {("list_item", "a"), ("list_item", "b")},
+    }
+    for text, want in texts.items():
+        assert {(k, c) for k, c, _ in M.Parsed(text).elements} == want, text
+
+
 def test_clean():
     p = M.Parsed("<h2>Head</h2><p>Some <b>bold</b> &amp; $x^2$ text.</p><ul><li>one</li><li>two</li></ul><pre>a\n b</pre>")
     assert p.clean == "# Head\n\nSome bold & $x^2$ text.\n\n- one\n- two\n\n```\na\n b\n```"
