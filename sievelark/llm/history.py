@@ -3,7 +3,7 @@
 A row is reduced to marks, 64-bit hashes of normalised content: its url as the page it opens, its
 title as a bag of words, the title with one word less and that word less one letter (titles that
 differ by a slip in one word share such a mark, titles with a word, number or instalment replaced
-do not), with two neighbours written as one, with the letters of each word in order (several
+do not), with two neighbours written as one or a word that may be such a one, with the letters of each word in order (several
 swaps or doublings), and for texts each paragraph. History is a table of (mark, first row) bucketed by mark.
 A new batch is joined to it bucket by bucket: the history side is neither shuffled nor
 recomputed, only the batch is. Marks found give links to the rows first accepted; marks not found
@@ -42,7 +42,7 @@ TRACKING = re.compile(r"^(utm_.*|ref|fbclid|gclid|dclid|msclkid|mc_cid|mc_eid|ig
 #: Words that come and go in a title.
 SMALL = {"a", "an", "the", "on"}
 _WORD = re.compile(r"[^\W_]+")
-_ROMAN = re.compile(r"^[ivxlcdm]+$")
+_ROMAN = re.compile(r"^(?=.)m*(?:cm|cd|d?c{0,4})(?:xc|xl|l?x{0,4})(?:ix|iv|v?i{0,4})$")
 _M = (1 << 64) - 1
 
 
@@ -92,6 +92,8 @@ def title_marks(words: list[str], cache: dict[str, np.ndarray]) -> np.ndarray:
         return np.empty(0, np.uint64)
     total = sum(_hash("w" + w) for w in words) & _M
     out = [mix(np.array([total], np.uint64))]
+    if len(words) > 1:
+        out.append(mix(np.array([(total - _hash("w" + w) + _hash("j" + w)) & _M for w in words], np.uint64)))
     if len(words) > 2:
         pairs = [total - _hash("w" + a) - _hash("w" + b) + _hash("j" + a + b) for a, b in zip(words, words[1:], strict=False) if not (a + b).isdigit()]
         pairs.append(sum(_hash("l" + _letters(w)) for w in words))

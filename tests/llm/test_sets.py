@@ -14,6 +14,11 @@ from sievelark.llm import tokens as T
 # --- history
 
 
+def test_joined_words_and_words_like_numerals():
+    assert shared("Vision-based tables of law", "Visionbased tables of law") and shared("Deep vision tables", "Deepvision tables") and not shared("Routing tables 1 2", "Routing tables 12")
+    assert shared("Routing civil tables in law", "Routing civl tables in law") and not shared("Routing tables, Part VIII", "Routing tables, Part VII")
+
+
 @pytest.mark.parametrize(
     "a,b,same",
     [
