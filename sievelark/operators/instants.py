@@ -5,9 +5,11 @@ then resolved by an as-of join against exploded zone-offset intervals: one match
 gives the offset, two mean the time is ambiguous (the first is taken), none means a clock
 change skipped it (it is moved forward by the gap, that is, read with the offset before it).
 
-The interval table holds every IANA zone and every local year of YEARS: a constant of some
-30 thousand rows whatever the data, so it is broadcast. Everything else is a narrow
-projection: no shuffle, no Python.
+The interval table is read from the IANA files: for each different zone the local years from its
+first clock change to its last, and for zones whose changes go on by rule a cycle of years,
+to one of which, of the same length and first weekday, every later year is led back. So any year from 1 to 9999 has
+its own offset, and the tables are a constant of some 60 thousand rows whatever the data: they are
+broadcast. Everything else is a narrow projection: no shuffle, no Python.
 
 Defined results: null, empty and unparsable texts, impossible dates and times, offsets
 beyond 18 hours and unknown zones give a null instant (`kind` says why); digits finer than
@@ -16,9 +18,12 @@ the input pass through untouched, names starting with `_i_` being reserved."""
 
 from __future__ import annotations
 
+import struct
 from datetime import UTC, datetime, timedelta
 from functools import cache
-from zoneinfo import ZoneInfo, available_timezones
+from importlib.resources import files
+from pathlib import Path
+from zoneinfo import TZPATH, ZoneInfo, available_timezones
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,8 +31,8 @@ from pyspark.sql import functions as F
 
 from sievelark.session import table
 
-#: Local years covered by the interval table; earlier and later times use the offset at its ends.
-YEARS = (1970, 2037)
+#: Changes by rule are listed for one cycle: 28 years from the first, or 400 after the last listed change where that is later.
+RULES_FROM, CYCLE, LONG_CYCLE = 2038, 28, 400
 #: Bare numbers count from 1970 if that gives a date in these years.
 EPOCH_YEARS = (2000, 2030)
 #: Zone abbreviations of RFC 822 and a few common ones, in minutes east of UTC.
@@ -53,41 +58,111 @@ _MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
 _MONTH_NAMES = r"^(?i)(jan(uary)?|feb(ruary)?|mar(ch)?|apr(il)?|may|june?|july?|aug(ust)?|sept?(ember)?|oct(ober)?|nov(ember)?|dec(ember)?)$"
 
 
+def _zone_file(name: str) -> bytes:
+    """The TZif file of a zone, from the system's folders or the tzdata package."""
+    for folder in TZPATH:
+        if (f := Path(folder, name)).is_file():
+            return f.read_bytes()
+    return files("tzdata").joinpath("zoneinfo", *name.split("/")).read_bytes()
+
+
+def listed_changes(raw: bytes) -> tuple[int, list[tuple[int, int]], str]:
+    """(first offset, changes as UTC second and offset after it, rule of later ones) of a TZif file (RFC 8536), version 2 or later."""
+
+    def counts(at: int) -> tuple[int, ...]:
+        return struct.unpack(">6l", raw[at + 20 : at + 44])
+
+    utc, std, leap, times, types, chars = counts(0)
+    at = 44 + times * 5 + types * 6 + chars + leap * 8 + std + utc
+    utc, std, leap, times, types, chars = counts(at)
+    at += 44
+    when = struct.unpack(f">{times}q", raw[at : at + 8 * times])
+    which = raw[at + 8 * times : at + 9 * times]
+    at += 9 * times
+    offset = [struct.unpack(">l", raw[at + 6 * i : at + 6 * i + 4])[0] for i in range(types)]
+    rule = raw[at + types * 6 + chars + leap * 12 + std + utc :].strip(b"\n").decode()
+    out, last = [], offset[0]
+    for t, k in zip(when, which, strict=True):
+        if offset[k] != last:
+            out.append((t, offset[k]))
+            last = offset[k]
+    return offset[0], out, rule
+
+
+def _sec(t: datetime) -> int:
+    return int((t - _EPOCH).total_seconds())
+
+
+_EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
+
+
+def ruled_changes(name: str, since: int, until: int) -> list[tuple[int, int]]:
+    """A zone's changes by its rule, from a UTC second to the end of a year, found by bisection between probes 14 days apart."""
+    zone = ZoneInfo(name)
+    off = lambda x: int((_EPOCH + timedelta(seconds=x)).astimezone(zone).utcoffset().total_seconds())
+    out, a, last, step = [], since, off(since), 14 * 86400
+    while a < _sec(datetime(until + 1, 2, 1, tzinfo=UTC)):
+        if (now := off(a + step)) != last:
+            x, y = a, a + step
+            while y - x > 1:
+                m = (x + y) // 2
+                x, y = (m, y) if off(m) == last else (x, m)
+            out.append((y, now))
+            last = now
+        a += step
+    return out
+
+
 @cache
-def zone_intervals() -> pd.DataFrame:
-    """One row a zone and local year: the offset intervals that touch the year, by local time.
-
-    Transitions are found by bisection between probes 14 days apart."""
-    lo, hi = datetime(YEARS[0] - 1, 12, 1, tzinfo=UTC), datetime(YEARS[1] + 1, 2, 1, tzinfo=UTC)
-    probes = [lo + timedelta(days=14 * i) for i in range((hi - lo).days // 14 + 2)]
-    epoch = datetime(1970, 1, 1, tzinfo=UTC)
-    sec = lambda t: int((t - epoch).total_seconds())
-    bounds = [(y, sec(datetime(y, 1, 1, tzinfo=UTC)), sec(datetime(y + 1, 1, 1, tzinfo=UTC))) for y in range(YEARS[0], YEARS[1] + 1)]
+def zone_tables() -> tuple[pd.DataFrame, pd.DataFrame]:
+    """(zones, intervals): for each zone its clock, the years listed of it and the cycle of its rule (0 without one);
+    for each clock and local year the offset intervals [from, to) in local seconds that touch the year."""
     far = 1 << 40
-    shapes: dict[tuple, list] = {}
-    rows = []
+    clocks: dict[bytes, tuple] = {}
+    zones, rows = [], []
+    year = lambda x: (_EPOCH + timedelta(seconds=x)).year
     for name in sorted(available_timezones()):
-        zone = ZoneInfo(name)
-        off = lambda t, z=zone: int(t.astimezone(z).utcoffset().total_seconds())
-        cuts, last = [(-far, off(probes[0]))], off(probes[0])
-        for a, b in zip(probes, probes[1:], strict=False):
-            if (now := off(b)) != last:
-                x, y = sec(a), sec(b)
-                while y - x > 1:
-                    m = (x + y) // 2
-                    x, y = (m, y) if off(epoch + timedelta(seconds=m)) == last else (x, m)
-                cuts.append((y, now))
-                last = now
-        if (key := tuple(cuts)) not in shapes:
+        raw = _zone_file(name)
+        if raw not in clocks:
+            first, cuts, rule = listed_changes(raw)
+            goes_on = "," in rule
+            late = year(cuts[-1][0]) + LONG_CYCLE if cuts and year(cuts[-1][0]) >= RULES_FROM else RULES_FROM + CYCLE - 1
+            if goes_on:
+                cuts += ruled_changes(name, cuts[-1][0] if cuts else 0, late)
+            cuts = [(-far, first), *cuts]
+            lo = year(cuts[1][0]) - 1 if len(cuts) > 1 else 2000
+            hi = late if goes_on else max(lo, year(cuts[-1][0]) + 1) if len(cuts) > 1 else lo
+            clock = len(clocks)
             spans = [(a + o, (cuts[i + 1][0] if i + 1 < len(cuts) else far) + o, o) for i, (a, o) in enumerate(cuts)]
-            shapes[key] = [(y, [s for s in spans if s[0] < b + 86400 and s[1] > a - 86400]) for y, a, b in bounds]
-        rows += [(name, y, [list(s) for s in spans]) for y, spans in shapes[key]]
-    return pd.DataFrame(rows, columns=["_i_zone", "_i_year", "_i_spans"])
+            at = 0
+            for y in range(lo, hi + 1):
+                a, b = _sec(datetime(y, 1, 1, tzinfo=UTC)), _sec(datetime(y + 1, 1, 1, tzinfo=UTC))
+                while spans[at][1] <= a - 86400:
+                    at += 1
+                end = at
+                while end < len(spans) and spans[end][0] < b + 86400:
+                    end += 1
+                rows.append((clock, y, [list(x) for x in spans[at:end]]))
+            clocks[raw] = (clock, lo, hi, 0 if not goes_on else CYCLE if late < RULES_FROM + CYCLE else LONG_CYCLE)
+        zones.append((name, *clocks[raw]))
+    return pd.DataFrame(zones, columns=["_i_zone", "_i_clock", "_i_lo", "_i_hi", "_i_cycle"]), pd.DataFrame(rows, columns=["_i_clock", "_i_year", "_i_spans"])
+
+
+def zone_frames(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """The zone and interval tables as DataFrames; their sizes depend on the IANA database alone."""
+    zones, spans = zone_tables()
+    return spark.createDataFrame(zones, "_i_zone string, _i_clock int, _i_lo int, _i_hi int, _i_cycle int"), spark.createDataFrame(spans, "_i_clock int, _i_year int, _i_spans array<array<bigint>>")
 
 
-def intervals_frame(spark: SparkSession) -> DataFrame:
-    """The interval table as a DataFrame; its size depends on the IANA database alone."""
-    return spark.createDataFrame(zone_intervals(), "_i_zone string, _i_year int, _i_spans array<array<bigint>>")
+def _year_alike(year: Column) -> Column:
+    """The year of the rule cycle with the same length and first weekday."""
+    kind: dict[int, int] = {}
+    for y in range(RULES_FROM, RULES_FROM + CYCLE):
+        d = datetime(y, 1, 1)
+        kind.setdefault((d.isoweekday() % 7) * 2 + (y % 4 == 0), y)
+    new_year = F.make_date(year, F.lit(1), F.lit(1))
+    leap = (F.dayofyear(F.make_date(year, F.lit(12), F.lit(31))) == 366).cast("int")
+    return F.element_at(F.create_map(*[F.lit(x) for kv in kind.items() for x in kv]), (F.dayofweek(new_year) - 1) * 2 + leap)
 
 
 def _int(c: Column) -> Column:
@@ -127,7 +202,7 @@ def to_instant(df: DataFrame, text: str, default_zone: Column | str | None = Non
     ok = hour.between(0, 23) & minute.between(0, 59) & second.between(0, 59)
     df = df.withColumn("_i_l", F.when(ok, (F.unix_date(date).cast("bigint") * 86400 + hour * 3600 + minute * 60 + second)))
     df = df.withColumn("_i_f", F.when(g(7) == "", F.lit(0).cast("bigint")).otherwise(frac)).withColumn("_i_z", F.regexp_replace(g(8), r"[\[\]]", ""))
-    df = df.withColumn("_i_y", F.greatest(F.lit(YEARS[0]), F.least(F.lit(YEARS[1]), F.year(date))))
+    df = df.withColumn("_i_y0", F.year(date))
     z = F.col("_i_z")
     abbr = F.create_map(*[F.lit(x) for kv in ABBREVIATIONS.items() for x in kv])
     signed = z.rlike(r"^[+-]\d{2}:?\d{2}$")
@@ -138,15 +213,21 @@ def to_instant(df: DataFrame, text: str, default_zone: Column | str | None = Non
     region = F.when(z == "", F.col("_i_dz")).when(z.contains("/"), z)
     region = F.when((region == "UTC") | F.col("_i_l").isNull(), F.lit(None)).otherwise(region)
     df = df.withColumn("_i_region", region)
-    spans = intervals_frame(df.sparkSession)
-    df = df.join(F.broadcast(spans), (F.col("_i_region") == spans["_i_zone"]) & (F.col("_i_y") == spans["_i_year"]), "left")
-    local = F.col("_i_l")
+    zones, spans = zone_frames(df.sparkSession)
+    df = df.join(F.broadcast(zones), F.col("_i_region") == F.col("_i_zone"), "left")
+    later = (F.col("_i_y0") > F.col("_i_hi")) & (F.col("_i_cycle") > 0)
+    long = F.col("_i_hi") - (LONG_CYCLE - 1) + (F.col("_i_y0") - F.col("_i_hi") - 1) % LONG_CYCLE
+    alike = F.when(later & (F.col("_i_cycle") == LONG_CYCLE), long).when(later, _year_alike(F.col("_i_y0"))).otherwise(F.greatest("_i_lo", F.least("_i_hi", "_i_y0")))
+    df = df.withColumn("_i_y", alike)
+    df = df.join(F.broadcast(spans.withColumnRenamed("_i_clock", "_i_c2")), (F.col("_i_clock") == F.col("_i_c2")) & (F.col("_i_y") == F.col("_i_year")), "left")
+    moved = F.unix_date(F.make_date("_i_y0", F.lit(1), F.lit(1))) - F.unix_date(F.make_date("_i_y", F.lit(1), F.lit(1)))
+    local = F.col("_i_l") - F.when(later, moved.cast("bigint") * 86400).otherwise(F.lit(0))
     hit = F.filter("_i_spans", lambda x: (x[0] <= local) & (local < x[1]))
     df = df.withColumn("_i_hit", hit)
     before = F.filter("_i_spans", lambda x: x[1] <= local)
     span = F.when(F.size("_i_hit") > 0, F.get("_i_hit", F.lit(0))).otherwise(F.get(before, F.size(before) - 1))
-    zoned = local - F.get(span, F.lit(2))
-    plain = F.when((z == "") & (F.col("_i_dz") == "UTC"), local).when(F.col("_i_o").isNotNull() & (z != ""), local - F.col("_i_o"))
+    zoned = F.col("_i_l") - F.get(span, F.lit(2))
+    plain = F.when((z == "") & (F.col("_i_dz") == "UTC"), F.col("_i_l")).when(F.col("_i_o").isNotNull() & (z != ""), F.col("_i_l") - F.col("_i_o"))
     n = F.when(digits, F.col("_i_s").try_cast("bigint"))
     lo, hi = (int(datetime(y, 1, 1, tzinfo=UTC).timestamp()) for y in (EPOCH_YEARS[0], EPOCH_YEARS[1] + 1))
     number = F.when(n.between(lo, hi - 1), n * 1_000_000)
@@ -156,7 +237,7 @@ def to_instant(df: DataFrame, text: str, default_zone: Column | str | None = Non
     if kind:
         size = F.size("_i_hit")
         extra[kind] = F.when(found.isNull(), "none").when(number.isNotNull(), "number").when(plain.isNotNull(), "fixed").when(size > 1, "ambiguous").when(size == 1, "unique").otherwise("nonexistent")
-    return df.withColumns({out: found, **extra}).drop(*[c for c in ("_i_s", "_i_dz", "_i_df", "_i_p", "_i_l", "_i_f", "_i_z", "_i_y", "_i_o", "_i_region", "_i_zone", "_i_year", "_i_spans", "_i_hit")])
+    return df.withColumns({out: found, **extra}).drop(*[c for c in ("_i_s", "_i_dz", "_i_df", "_i_p", "_i_l", "_i_f", "_i_z", "_i_y0", "_i_y", "_i_o", "_i_region", "_i_zone", "_i_clock", "_i_c2", "_i_lo", "_i_hi", "_i_cycle", "_i_year", "_i_spans", "_i_hit")])
 
 
 def stored_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
