@@ -70,6 +70,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def _path(spark: SparkSession, folder: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def list_dir(spark: SparkSession, folder: str) -> list[str]:
+    """The names in a folder of any file system; none if there is no such folder."""
+    fs, path = _path(spark, folder)
+    return sorted(f.getPath().getName() for f in fs.listStatus(path)) if fs.exists(path) else []
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder of any file system."""
+    fs, path = _path(spark, folder)
+    fs.delete(path, True)
+
+
 def micros(ts: Column) -> Column:
     """Microseconds since 1970-01-01 of a zoned or zoneless timestamp (the latter meaning UTC)."""
     return F.unix_micros(ts.cast("timestamp"))
