@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 
 from sievelark.llm import history as H
@@ -10,6 +11,7 @@ from sievelark.llm import mixing as X
 from sievelark.llm import packing as P
 from sievelark.llm import seen as S
 from sievelark.llm import tokens as T
+from sievelark.session import shared_dir
 
 # --- history
 
@@ -102,6 +104,44 @@ def test_seen_empty(spark, tmp_path):
     assert S.p7_found(spark, str(tmp_path)).count() == 0 and S.p7_rates(spark, str(tmp_path)).first().wrong_yes_rate == 0
 
 
+def test_many_probes_of_few_keys(spark):
+    """Two million probes against a thousand keys: each task gets about a bound of them, and no key is lost."""
+    store = S.Sealed(spark, f"{shared_dir(spark)}/seen_test_probes")
+    try:
+        store.drop()
+        store.seal(spark.range(1000).selectExpr("cast(id * 2000 AS string) AS key", "id AS first_us"), 10_000)
+        assert [p for _, p, _ in store.generations()] == [1]
+        keys = spark.range(2_000_000).selectExpr("cast(id AS string) AS key")
+        sizes = []
+        probe, S._probe = S._probe, lambda q, s: pd.DataFrame({"key": [str(len(q))], "first_s": [len(s)]})
+        try:
+            sizes = [(int(r.key), r.first_s) for r in store.ask(keys, 100_000).collect()]
+        finally:
+            S._probe = probe
+        assert max(n for n, _ in sizes) < 110_000 and {s for _, s in sizes} == {1}
+        yes = {int(r.key) for r in store.ask(keys, 100_000).collect()}
+        assert yes >= {2000 * i for i in range(1000)} and len(yes) < 1000 + 2_000_000 * 3 / (1 << S.FP_BITS)
+    finally:
+        store.drop()
+
+
+def test_sealed_generations_are_kept_and_reopened(spark):
+    path = f"{shared_dir(spark)}/seen_test_generations"
+    S.Sealed(spark, path).drop()
+    memory = spark.range(30_000).selectExpr("concat('k', id) AS key", "id * 1000000 AS first_us")
+    try:
+        S.Sealed(spark, path).seal(memory, 20_000_000_000, 1000)
+        again = S.Sealed(spark, path)
+        assert again.end() == 20_000_000_000 and again.generations() == [(0, 20, 20_000_000_000)]
+        again.seal(memory, 25_000_000_000, 1000)
+        assert again.generations()[1] == (1, 5, 25_000_000_000)
+        got = {r.key: r.first_s for r in again.ask(spark.range(29_000, 31_000).selectExpr("concat('k', id) AS key").unionByName(memory.where("first_us < 25000000000").select("key")), 1000).collect()}
+        assert all(got[f"k{i}"] == i for i in range(25_000)) and len(got) < 25_000 + 5
+        assert S.Sealed(spark, path + "_none").end() is None and S.Sealed(spark, path + "_none").ask(memory.select("key")).count() == 0
+    finally:
+        S.Sealed(spark, path).drop()
+
+
 # --- packing
 
 
