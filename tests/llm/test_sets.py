@@ -60,13 +60,114 @@ def test_batches(spark, tmp_path):
     spark.createDataFrame([(*r, "a long paragraph of this text\n\nand another long paragraph" if r[0] % 2 else None, "z") for r in b], "post_id bigint, batch_no int, url string, title string, content string, node string").write.parquet(str(tmp_path / "blog_posts.parquet"))
     got = sorted(tuple(r) for r in H.p5_found(spark, str(tmp_path)).collect())
     assert got == [("blog_posts", 2, 1), ("blog_posts", 4, 3), ("blog_posts", 5, 3), ("papers", 3, 1), ("papers", 4, 1), ("papers", 9, 1)]
-    cover = {(r.tbl, r.row_id): (r.n_paragraphs, r.n_seen_before) for r in H.p5_coverage(spark, str(tmp_path)).collect()}
-    assert cover == {("blog_posts", 1): (2, 0), ("blog_posts", 3): (2, 2), ("blog_posts", 5): (2, 2)}
+    cover = {(r.tbl, r.row_id): (r.n_paragraphs, r.n_seen_before, r.full_copy) for r in H.p5_coverage(spark, str(tmp_path)).collect()}
+    assert cover == {("blog_posts", 1): (2, 0, False), ("blog_posts", 3): (2, 2, True), ("blog_posts", 5): (2, 2, True)} | {("papers", i): (1, int(i in (3, 4, 5, 7, 8, 9)), i in (3, 4, 5, 7, 8, 9)) for i in range(1, 10)}
+
+
+def test_short_paragraphs_count():
+    assert H.paragraphs("<h2>Tip</h2><p>A longer paragraph of words.</p>\n\n***\n\n- x") == ["tip", "a longer paragraph of words", "x"] and H.paragraphs(None) == []
+
+
+def batches(n, seed=5):
+    """Rows of n batches: titles anew, again, with a slip, and chains whose ends meet in a later batch."""
+    rng, rows = random.Random(seed), []
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(5, 9)))
+    for b in range(n):
+        for _ in range(25 if b else 60):
+            t, url = " ".join(word() for _ in range(4)), f"https://a.example/{rng.randrange(10**9)}"
+            if rows and rng.random() < 0.6:
+                x, y = rng.choice(rows), rng.choice(rows)
+                t, url = (x[4], y[3]) if rng.random() < 0.5 else (x[4][:3] + x[4][4:], url)
+            rows.append((0, b, len(rows), url, t))
+    rng.shuffle(rows)
+    return rows
+
+
+ROWS = "tbl int, batch int, id bigint, url string, title string"
+
+
+def brute(rows):
+    """Components by shared page or shared title mark, and of each row its component's first if that is of an earlier batch."""
+    root = {r[2]: r[2] for r in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    owner = {}
+    for r in rows:
+        with np.errstate(over="ignore"):
+            for m in [*H.title_marks(H.title_words(r[4]), {}).tolist(), H.page_of(r[3])]:
+                root[find(r[2])] = find(owner.setdefault(m, r[2]))
+    first = {}
+    for r in rows:
+        k = find(r[2])
+        first[k] = min(first.get(k, (r[1], r[2])), (r[1], r[2]))
+    return {(r[2], first[find(r[2])][1]) for r in rows if r[1] > first[find(r[2])][0]}
+
+
+def test_last_batch_against_a_stored_history(spark, monkeypatch):
+    """One by one, in rounds, and the last batch alone against a history opened again: the same rows, as by brute force."""
+    rows = batches(3)
+    df = spark.createDataFrame([(*r, "x") for r in rows], ROWS + ", text string")
+    want = brute(rows)
+    monkeypatch.setattr(H, "BUCKETS", 2)
+    monkeypatch.setattr(H, "BUCKET_MARKS", 200)
+    found = lambda h: {(r["row"].id, r.root.id) for r in h.repeats().where("row.batch > root.batch").collect()}
+    single, several = H.fresh(spark), H.fresh(spark)
+    try:
+        for b in range(2):
+            single.accept(df.where(f"batch = {b}"))
+        assert single.buckets > 2
+        single.close()
+        again = H.History(spark, single.path)
+        new = again.accept(df.where("batch = 2"))
+        assert {(r["row"].id, r.root.id) for r in new.collect()} >= {x for x in want if x[0] in {r[2] for r in rows if r[1] == 2}} - {(r[2], r[2]) for r in rows}
+        assert found(again) == want
+        again.close()
+        plan = H.rounds(df)
+        assert plan[0] == (0, 0) and plan[-1][1] == 2
+        for lo, hi in plan:
+            several.accept(df.where(f"batch between {lo} and {hi}"))
+        assert found(several) == want
+    finally:
+        single.drop()
+        several.drop()
+
+
+def test_a_failed_accept_leaves_nothing(spark, monkeypatch):
+    rows = spark.createDataFrame(batches(2), ROWS)
+    h, whole = H.fresh(spark), H.fresh(spark)
+    try:
+        h.accept(rows.where("batch = 0"))
+        with monkeypatch.context() as m:
+            m.setattr(H, "connected_components", lambda *_: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                h.accept(rows.where("batch = 1"))
+        again = H.History(spark, h.path)
+        for x in (again, whole):
+            for b in (0, 1):
+                if x is whole or b:
+                    x.accept(rows.where(f"batch = {b}"))
+        assert {tuple(r) for r in again.repeats().collect()} == {tuple(r) for r in whole.repeats().collect()} != set()
+        again.close()
+    finally:
+        h.drop()
+        whole.drop()
 
 
-def test_no_batches(spark):
-    df = spark.createDataFrame([], "node bigint, batch int, tbl string, url string, title string, text string")
-    assert H.batch_by_batch(H.marks(df, "item")).count() == 0
+def test_no_batches_and_null_batches(spark, tmp_path):
+    assert H.rounds(spark.createDataFrame([], ROWS)) == []
+    h = H.fresh(spark)
+    try:
+        assert h.accept(spark.createDataFrame([], ROWS)).count() == 0 and h.repeats().count() == 0
+    finally:
+        h.drop()
+    p = [(1, None, "https://a.example/1", "A title of note", "z"), (2, 3, "https://a.example/1", None, None), (3, None, None, None, "")]
+    spark.createDataFrame(p, "item_ord bigint, batch_no int, url string, title string, abstract string").write.parquet(str(tmp_path / "papers.parquet"))
+    spark.createDataFrame([], "post_id bigint, batch_no int, url string, title string, content string").write.parquet(str(tmp_path / "blog_posts.parquet"))
+    assert [tuple(r) for r in H.p5_found(spark, str(tmp_path)).collect()] == [("papers", 1, 2)]
 
 
 # --- seen keys
