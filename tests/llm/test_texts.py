@@ -107,10 +107,8 @@ def test_long_markup():
 
 
 def test_common(spark):
-    pairs = {}
     docs = spark.createDataFrame([(1, "the quick brown fox jumps over copies of Pages"), (2, "\u0441\u044a\u0435\u0448\u044c \u0435\u0449\u0451 \u044d\u0442\u0438\u0445 \u043c\u044f\u0433\u043a\u0438\u0445 \u0431\u0443\u043b\u043e\u043a"), (3, None)], "doc_id bigint, text string")
-    pairs = L.bigrams(docs)
-    s = L.Speller(pairs)
+    s = L.Speller(L.trigrams(docs))
     same = [
         ("copies of Pages", "\u0441\u043e\u0440i\u0435s \u043ef P\u0430g\u0435s"), ("file", "\ufb01le"), ("caf\u00e9", "cafe\u0301"), ("a b", "a\u2009b"), ("a b", "a\u00a0b"), ("abc", "a\u200bb\u00adc\ufeff"), ("Full 12", "\uff26\uff55\uff4c\uff4c\u3000\uff11\uff12"),
         ("re-do", "re\u2011do"), ("x\ny", "x\r\ny"), ("\u0451", "\u0435\u0308"), ("\u00e4", "\u04d3"),
@@ -123,6 +121,23 @@ def test_common(spark):
     assert s.common("") == "" and s.common("\u200b") == ""
 
 
+def test_scores_decide():
+    """Russian words of look-alike letters alone stay Russian in an English sentence; without scores they would not."""
+    import pandas as pd
+
+    english = "the choir and the litter box near a copy of each space, so we hope the cop has seen people escape; no one places open cases on paper, as such copies cope " * 3
+    russian = "\u0445\u043e\u0440\u043e\u0448\u0438\u0439 \u0445\u043e\u0440\u043e\u0432\u043e\u0434 \u0445\u043e\u0434\u0438\u0442 \u0437\u0430 \u0441\u043e\u0440\u043e\u043a\u0430\u043c\u0438, \u0440\u0430\u0437\u0431\u043e\u0440 \u0441\u043e\u0440\u0442\u043e\u0432 \u0438 \u0441\u043f\u043e\u0440\u044b \u0434\u0432\u043e\u0440\u043e\u0432 " * 3
+    grams = {}
+    for b in L.count_trigrams(iter([pd.DataFrame({"text": [english, russian, None]})])):
+        grams = dict(zip(b["gram"], b["n"], strict=True))
+    choir = "\u0445\u043e\u0440"
+    text = f"The word {choir} means choir, xop does not."
+    with_, without = L.Speller(grams), L.Speller({})
+    assert with_.common(text) == f"The word {choir} means choir, {choir} does not." and without.common(text) == "The word xop means choir, xop does not."
+    assert with_.common("a cop has a case") == "a cop has a case" == with_.common("\u0430 \u0441\u043e\u0440 h\u0430s \u0430 \u0441as\u0435")
+    assert with_.common("\u13e2\u13aa\u0405E \u0570\u0565") != "" and with_.common("\u13aa\u13be\u13d2A") == with_.common("\u0410\u13be\u13d2\u0391")
+
+
 def test_lookalike_pairs(spark, tmp_path):
     rows = [(1, "same page", 0), (2, "s\u0430me p\u0430ge", 0), (3, "same page", 0), (4, "same pages", 0), (5, None, 0), (6, None, 0), (7, "", 0), (8, "\u200b", 0), (9, "b" * 300_000, 0), (10, "b" * 299_999 + "\u00adb", 0)]
     spark.createDataFrame(rows, "doc_id bigint, text string, form int").write.parquet(str(tmp_path / "documents.parquet"))
