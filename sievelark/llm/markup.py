@@ -1,10 +1,11 @@
 """Markup residue to clean text that keeps its structure, with site templates removed.
 
-1. Site templates: each text is split into blocks (element subtrees of HTML and, inside lists,
-   their items; paragraphs between blank lines elsewhere). Blocks are hashed and counted per host
-   over its pages: a page delivered again counts once, as its longest text, and so does a text under
+1. Site templates: each text is split into blocks (all element subtrees of HTML, nested ones too;
+   paragraphs between blank lines elsewhere). Blocks are hashed and counted per host (reports are the
+   pages of one site) over its pages: a page delivered again counts once, as its longest text, and so does a text under
    several urls. Those on at least SHARE of a host's pages and on MIN_PAGES pages are templates and
-   are deleted from that host's texts.
+   are deleted from that host's texts, the outermost first. On fewer pages a block that recurs cannot
+   be told from content that was posted again, so nothing is deleted there.
 2. Structure: code blocks and formulas are taken out first (nothing inside them is markup), then
    headings and list items of HTML, Markdown, wiki and LaTeX. Only complete elements count: one
    whose end is missing because the text was cut does not.
@@ -241,21 +242,44 @@ class Parsed:
         return re.sub(r"(?m)^(- [^\n]*)\n\n(?=- )", r"\1\n", "\n\n".join(parts))
 
 
-_BLOCK = re.compile(r"<(p|h[1-6]|pre|ul|ol|table|blockquote|nav|footer|header|aside|form)\b[^>]*>.*?</\1\s*>", re.S | re.I)
-_ITEM = re.compile(r"<li\b[^>]*>.*?(?=<li\b|</li\s*>|</ul\s*>|</ol\s*>)", re.S | re.I)
+#: Elements whose subtrees are hashed, those that end where the next of them begins, and those without content.
+_SUBTREE = re.compile(r"<(/?)(p|div|section|article|main|header|footer|nav|aside|form|figure|h[1-6]|pre|ul|ol|dl|li|table|tr|blockquote)\b[^<>]*>", re.I)
+_ENDS_ITSELF = {"p", "li", "tr"}
+_PARAGRAPH = re.compile(r"(?:[^\n]|\n(?!\s*\n))+")
+
+
+def subtrees(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the complete element subtrees of a text, nested ones included, in the order of their ends.
+
+    A paragraph, item or row also ends where its like begins or its parent ends; other elements left open are none."""
+    out: list[tuple[int, int]] = []
+    stack: list[tuple[str, int]] = []
+    for m in _SUBTREE.finditer(text):
+        tag = m[2].lower()
+        if not m[1]:
+            if tag in _ENDS_ITSELF and stack and stack[-1][0] == tag:
+                out.append((stack.pop()[1], m.start()))
+            stack.append((tag, m.start()))
+            continue
+        depth = next((i for i in range(len(stack) - 1, max(-1, len(stack) - 65), -1) if stack[i][0] == tag), None)
+        if depth is None:
+            continue
+        out += [(at, m.start()) for t, at in reversed(stack[depth + 1 :]) if t in _ENDS_ITSELF]
+        out.append((stack[depth][1], m.end()))
+        del stack[depth:]
+    return out
 
 
 def blocks(text: str) -> list[tuple[int, int, int]]:
-    """(start, end, hash) of the blocks of a text: element subtrees, their list items, and paragraphs of what is left."""
+    """(start, end, hash) of the blocks of a text, an outer one before those inside it: element subtrees, and paragraphs of what lies outside them."""
+    trees = sorted(subtrees(text), key=lambda x: (x[0], -x[1])) if "<" in text else []
     out, at = [], 0
-    spans = [(m.start(), m.end()) for m in _BLOCK.finditer(text)] if "<" in text else []
-    for a, b in [*spans, (len(text), len(text))]:
-        for m in re.finditer(r"(?:[^\n]|\n(?!\s*\n))+", text[at:a]):
-            out.append((at + m.start(), at + m.end()))
+    for a, b in [*trees, (len(text), len(text))]:
+        if a >= at:
+            out += [(at + m.start(), at + m.end()) for m in _PARAGRAPH.finditer(text[at:a])]
+            at = b
         if b > a:
             out.append((a, b))
-            out += [(a + m.start(), a + m.end()) for m in _ITEM.finditer(text[a:b])]
-        at = b
     return [(a, b, xxhash.xxh3_64_intdigest(s.lower()) - (1 << 63)) for a, b in out if (s := squeeze(text[a:b]))]
 
 
@@ -276,7 +300,7 @@ def marked_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.lower(F.regexp_extract("url", r"^[A-Za-z]+://([^/:?#]+)", 1))
     p = table(spark, sf_dir, "papers").select(F.lit("papers").alias("tbl"), F.col("item_ord").cast("string").alias("row_key"), host.alias("host"), "url", F.col("abstract").alias("text"))
     b = table(spark, sf_dir, "blog_posts").select(F.lit("blog_posts").alias("tbl"), F.col("post_id").cast("string").alias("row_key"), host.alias("host"), "url", F.col("content").alias("text"))
-    r = table(spark, sf_dir, "feedback_runs").select(F.lit("feedback_runs").alias("tbl"), F.col("run_id").alias("row_key"), F.lit("").alias("host"), F.lit(None).cast("string").alias("url"), F.col("report_html").alias("text"))
+    r = table(spark, sf_dir, "feedback_runs").select(F.lit("feedback_runs").alias("tbl"), F.col("run_id").alias("row_key"), F.lit("reports").alias("host"), F.lit(None).cast("string").alias("url"), F.col("report_html").alias("text"))
     return p.unionByName(b).unionByName(r).where("text is not null")
 
 
