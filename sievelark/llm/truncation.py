@@ -42,7 +42,6 @@ TAIL = 4
 
 #: What is put after a cut.
 MARK = re.compile(r"[\s.…]*(?:[\[(]\s*(?:\.\.\.|…|more|cut|shortened[^\[\]()]*|truncated[^\[\]()]*|continued?|snip|abridged)\s*[\])]?|(?:…|\.\.\.)\s*(?:read|see|show|continue)\s+(?:more|reading)\W*)\s*$", re.I)
-_DOTS = re.compile(r"\s*(?:\.{3,}|…)\s*$")
 _OPEN_TAG = re.compile(r"</?[A-Za-z][^<>]*$|</?$", re.S)
 _ENTITY = re.compile(r"&(?:#\d{0,6}|#x[0-9a-f]{0,5}|([A-Za-z]{1,7}))$", re.I)
 _ENTITIES = ("nbsp", "mdash", "ndash", "amp", "lt", "gt", "quot", "apos", "middot", "hellip", "rsquo", "lsquo", "ldquo", "rdquo", "copy", "bull", "times")
@@ -76,13 +75,40 @@ def units(clean: str) -> list[tuple[str, str]]:
     return out
 
 
-def at_end(pattern: re.Pattern, s: str, most: int = 400) -> int:
-    """Where a pattern tied to the end begins, looking back at most so far; -1 if it is not there."""
-    a = max(0, len(s) - most)
+def at_end(pattern: re.Pattern, s: str, signs: tuple[str, ...] = (), near: int = 8) -> int:
+    """Where a pattern tied to the end begins; -1 if it is not there.
+
+    signs: those of which the last in the text begins a long match, however far back it is; matches without one are at most `near` long."""
+    a = min([max(0, len(s) - near), *(x for t in signs if (x := s.rfind(t)) >= 0)])
     m = pattern.search(s, a)
     return m.start() if m else -1
 
 
+def mark_at(s: str) -> int:
+    """Where what was put after a cut begins; -1 if nothing was.
+
+    It begins at the last bracket, or at the last dots before the last letter, with the dots and space before those."""
+    word = len(s)
+    while word and not s[word - 1].isalnum():
+        word -= 1
+    found = -1
+    for a in {max(s.rfind("["), s.rfind("(")), s.rfind("…", 0, word), s.rfind("...", 0, word)}:
+        if a < 0:
+            continue
+        while a and (s[a - 1].isspace() or s[a - 1] in ".…"):
+            a -= 1
+        if MARK.match(s, a):
+            found = a if found < 0 else min(found, a)
+    return found
+
+
+def dots_at(s: str) -> int:
+    """Where three dots or more at the end begin, with the space before them; -1 if there are none."""
+    t = s.rstrip()
+    a = len(t) - 1 if t.endswith("…") else len(t.rstrip(".")) if t.endswith("...") else -1
+    return len(t[:a].rstrip()) if a >= 0 else -1
+
+
 def open_tag(s: str) -> bool:
     """Whether the text ends inside a tag or a comment."""
     if (a := s.rfind("<!--")) >= 0 and "-->" not in s[a:]:
@@ -97,9 +123,9 @@ def ending(text: str) -> tuple[str, str, str, bool, int, list[tuple[str, str]]]:
     status: cut and whole are certain; ask needs the counts."""
     s = text.rstrip()
     mark, body = "", s
-    if (a := at_end(MARK, s)) >= 0:
+    if (a := mark_at(s)) >= 0:
         mark, body = "said", s[:a]
-    elif (a := at_end(_DOTS, s)) >= 0:
+    elif (a := dots_at(s)) >= 0:
         mark, body = "dots", s[:a]
     size = len(body)
     if not mark:
@@ -117,12 +143,13 @@ def ending(text: str) -> tuple[str, str, str, bool, int, list[tuple[str, str]]]:
     last = bare[bare.rfind("\n\n") + 2 :] if "\n\n" in bare else bare
     if _OPEN_TEX.search(last) or _OPEN_LINK.search(last) or _OPEN_FORMULA.search(last):
         return "cut", mark, "", False, size, found[:-1]
-    if at_end(_CLOSED, tail) >= 0:
+    line = max(0, tail.rfind("\n"))
+    if _CLOSED.search(tail, min(line, tail.rfind("<")) if "<" in tail else line):
         return "whole", mark, "", False, size, found
     plain = tail
-    while (a := at_end(_INLINE_END, plain)) >= 0:
+    while (a := at_end(_INLINE_END, plain, ("</", "]("))) >= 0:
         plain = plain[:a].rstrip()
-    if not plain or at_end(_STOP, plain) >= 0 or not found:
+    if not plain or at_end(_STOP, plain, tuple(".!?。！？")) >= 0 or not found:
         return "whole", mark, "", False, size, found
     kind, words = found[-1]
     return "ask", mark, f"{kind}\t{' '.join(tokens(words))}", plain[-1].isalnum() and body == tail, size, found[:-1]
