@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+import re
 from collections.abc import Iterator
 from functools import cache
 from pathlib import Path
@@ -18,8 +19,9 @@ FOLDER = os.environ.get("SIEVELARK_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: The split into words before merging: letters with an optional leading space, digits, other signs, space.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Longer texts are counted in pieces of this many characters, cut after white space where there is some.
+#: Longer texts are counted in pieces of at least this many characters, cut before a single space between other characters: the split into words has a border there too.
 PIECE = 200_000
+_BORDER = re.compile(r"(?<=\S) (?=\S)")
 
 
 @cache
@@ -36,9 +38,8 @@ def count(text: str, folder: str = FOLDER, vocabulary: str = VOCABULARY) -> int:
     """The number of tokens; special tokens' names are ordinary text."""
     enc, n, at = encoding(folder, vocabulary), 0, 0
     while at < len(text):
-        end = min(len(text), at + PIECE)
-        if end < len(text) and (space := text.rfind(" ", at + PIECE // 2, end)) > 0:
-            end = space
+        border = _BORDER.search(text, at + PIECE) if len(text) - at > PIECE else None
+        end = border.start() if border else len(text)
         n += len(enc.encode_ordinary(text[at:end]))
         at = end
     return n

@@ -313,3 +313,16 @@ def test_token_counts(spark):
     rows = [(1, "a", "Hello world"), (2, "a", ""), (3, None, None), (4, "b", "word " * 100_000), (5, "b", "<|endoftext|>")]
     got = {r.doc_id: r.n_tokens for r in T.token_counts(spark.createDataFrame(rows, "doc_id bigint, source string, text string")).collect()}
     assert got[1] == 2 and got[2] == 0 and 3 not in got and abs(got[4] - 100_001) <= 1 and got[5] > 1
+
+
+def test_pieces_of_long_texts(monkeypatch):
+    """Counts are those of the whole text, wherever pieces end."""
+    import os
+
+    if not os.path.exists(os.path.join(T.FOLDER, T.VOCABULARY)):
+        pytest.skip("no vocabulary files")
+    rng = random.Random(9)
+    text = "".join(rng.choice(["word", "Don't", "12", " ", " ", "  ", "\n", "...", "\u4e2d\u6587", "\u00e9t\u00e9", " x"]) for _ in range(4000))
+    whole = T.count(text)
+    monkeypatch.setattr(T, "PIECE", 50)
+    assert T.count(text) == whole and T.count("x" * 500) == len(T.encoding(T.FOLDER, T.VOCABULARY).encode_ordinary("x" * 500))

@@ -14,6 +14,7 @@ from sievelark.llm import truncation as T
     [
         ("A whole sentence.", "whole", ""), ("<p>It ends</p>", "whole", ""), ("Cut in a tag <a hre", "cut", ""), ("cut in an entity &nb", "cut", ""), ("a formula $\\sum_{t", "cut", ""), ("see \\emph{this", "cut", ""),
         ("a [link](https://x", "cut", ""), ("broken tr\ufffd", "cut", ""), ("```\ncode without end", "cut", ""), ("It goes o [...]", "ask", "said"), ("It goes o... [shortened for length]", "ask", "said"), ("It goes o\u2026 Read more", "ask", "said"),
+        ("It is here: [the list.](https://a.example/" + "x" * 900 + ")", "whole", ""), ("<p>It is.</p" + " " * 900 + ">", "whole", ""), ("It goes o [shortened by " + "the site " * 90 + "]", "ask", "said"), ("Done. <a href='" + "y" * 900 + "'>See it.</a>", "whole", ""), ("x" * 900 + " so" + "." * 900, "ask", "dots"),
         ("More next week...", "ask", "dots"), ("(The list is in the wiki.)", "whole", ""), ("a < b and c > d", "ask", ""), ("costs $5 and $6", "ask", ""), ("```\nx\n```", "whole", ""), ("\\begin{itemize}\n\\item a\n\\end{itemize}", "whole", ""), ("== Head ==", "whole", ""),
     ],
 )
@@ -87,6 +88,23 @@ def test_templates(spark, most):
     assert items == {"Item 3"}
 
 
+def test_subtrees_nest():
+    t = "<div><div>a</div><ul><li>b<li>c</ul></div><p>d<p>e</p></section><nav>open"
+    assert {t[a:b] for a, b in M.subtrees(t)} == {"<div>a</div>", "<li>b", "<li>c", "<ul><li>b<li>c</ul>", "<div><div>a</div><ul><li>b<li>c</ul></div>", "<p>d", "<p>e</p>"}
+
+
+def test_nested_template_of_a_host(spark, monkeypatch):
+    """A nested navigation block of a host goes as one subtree from clean text and elements; without removal it would stay."""
+    nav = "<div class='nav'><div><h3>Menu</h3></div><ul><li>Home<ul><li>Top</li></ul></li></ul></div>"
+    rows = [("t", str(i), "h", f"https://h/{i}", f"<div><p>Own {i}.</p>{nav}<h2>Head {i}</h2></div>") for i in range(12)]
+    df = spark.createDataFrame(rows, "tbl string, row_key string, host string, url string, text string")
+    found = lambda: {(r.element, r.content) for r in M.parsed(df, False).where("row_key = '3'").collect()}
+    assert found() == {("heading", "Head 3")}
+    assert {r.clean_text for r in M.parsed(df, True).where("row_key = '3'").collect()} == {"Own 3.\n\n# Head 3"}
+    monkeypatch.setattr(M, "template_hashes", lambda of_row: of_row.selectExpr("tbl", "host", "0L AS hash").limit(0))
+    assert found() == {("heading", "Head 3"), ("heading", "Menu"), ("list_item", "Home"), ("list_item", "Top")}
+
+
 def test_redelivered_post_is_no_template(spark):
     post = "<h2>Own head</h2><ul><li>own item</li></ul>"
     rows = [("t", f"r{i}", "h", f"https://h/post?utm_source={i}", post) for i in range(8)] + [("t", f"e{i}", "h", "http://www.h/post/", post + f"<p>Edit {i}.</p>") for i in range(4)]
