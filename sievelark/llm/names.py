@@ -7,7 +7,8 @@
    join: a string is cut into K+1 segments, position-shifted substrings of the other string
    are looked up in the inverted index, and hits are verified with banded edit distance.
    Buckets of more than HOT entries go through K-deletion neighbourhoods instead, which find
-   exactly the same pairs with keys linear in the names.
+   exactly the same pairs with keys linear in the names. Given names that no vocabulary knows are
+   joined in the same way inside blocks of one surname.
 3. Connected components of these links are entities. Forms that leave the given name open
    (initials, a nickname of several names) join an entity only if exactly one fits best.
 
@@ -16,7 +17,7 @@ node. The vocabularies hold tokens that make up at least SHARE of the distinct n
 most 1/SHARE of them: that bounds what is sent to every task.
 
 Defined results: null, blank and generic names (`admin`, `Guest`) pair with nothing; a name
-of one word is only equal to itself in other letter cases; repeated rows count once; middle
+of one word is linked to one-word names alone, in other letter cases or with a slip; repeated rows count once; middle
 initials are ignored; an empty table gives no rows."""
 
 from __future__ import annotations
@@ -43,6 +44,9 @@ SHARE, LEAST = 0.0003, 4
 #: A surname in at most this share of the spellings, or of the rows, of a near one can be its slip: for one edit and for two.
 SLIP_SPELLINGS, SLIP_ROWS = {1: 0.4, 2: 0.2}, {1: 0.1, 2: 0.05}
 
+#: Letters of a surname from which on two edits can be one slip: shorter surnames two edits apart are mostly other people's (README).
+LONG = 10
+
 #: Fixed values.
 TITLES = {"dr", "prof", "professor", "phd", "md", "mr", "mrs", "ms", "msc", "sir", "jr", "sr", "dipl", "ing"}
 GENERIC = {"admin", "administrator", "guest", "editor", "editors", "editorial", "editorial team", "staff", "team", "the team", "webmaster", "anonymous", "unknown", "n a", "na", "none", "null", "author", "authors", "user", "root", "newsroom", "staff writer", "blog team", "the editors", "contributor", "various", "various authors", "moderator", "support", "press office", "info", "contact", "noreply"}
@@ -59,11 +63,8 @@ NICKNAMES = {
     "timothy": "tim timmy", "victoria": "vicky tori vic vicki", "walter": "walt wally", "william": "will bill billy willy liam", "zachary": "zach zack zac", "james": "jim jimmy jamie", "john": "jack johnny", "dorothy": "dot dottie", "virginia": "ginny",
     "ronald": "ron ronnie", "donald": "don donny", "kenneth": "ken kenny", "raymond": "ray", "catherine": "cathy cate", "philip": "phil pip", "peter": "pete", "henry": "hank", "francis": "frank", "albert": "al bert",
 }
-#: Given names that are one or two letters from another: never slips of each other.
-CLOSE = (
-    "alexander alexandra andrea andreas anton antonia carl carla christian christiana claudia claudio daniel daniela emil emilia eric erica erik erika gabriel gabriela henrik henrike jan jana johan johanna julia julian juliana julio karl karla "
-    "louis louisa maria mario marta martha martin martina michael michaela oliver olivia paul paula robert roberta simon simona simone stefan stefania valentin valentina victor victoria"
-).split()
+#: Final letters that come and go, or stand for each other, in given names of different people (Paul and Paula, Maria and Mario, Andrea and Andreas); a final letter doubled is a slip.
+ENDINGS = "aeios"
 _PLAIN = str.maketrans({"ø": "o", "ł": "l", "đ": "d", "ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ı": "i", "’": "'", "‐": "-", "‑": "-", "–": "-"})
 
 
@@ -135,6 +136,12 @@ def osa(a: str, b: str, most: int) -> int:
     return min(last[len(b)], most + 1)
 
 
+def other_ending(a: str, b: str) -> bool:
+    """Whether two given names differ in their endings alone, so that neither is a slip of the other."""
+    a, b = sorted((a, b), key=len)
+    return a == b[:-1] and b[-1] in ENDINGS and b[-1] != a[-1:] or len(a) == len(b) and a[:-1] == b[:-1] and a[-1] in ENDINGS and b[-1] in ENDINGS
+
+
 class Reader:
     """Reads a name into (kind, key string, options): kind full or open; an option is a given name
     or topic, or an initial with `*`."""
@@ -144,7 +151,7 @@ class Reader:
         for full, short in NICKNAMES.items():
             for s in short.split():
                 self.short[s].add(full)
-        self.given = set(given) | set(NICKNAMES) | set(CLOSE)
+        self.given = set(given) | set(NICKNAMES)
         self.topics = sorted(set(topics))
         self.near = defaultdict(set)
         for g in self.given:
@@ -159,7 +166,7 @@ class Reader:
             return {t}
         if len(t) < 3:
             return set()
-        return {g for d in _less_one(t) for g in self.near.get(d, ()) if osa(t, g, 1) <= 1}
+        return {g for d in _less_one(t) for g in self.near.get(d, ()) if not other_ending(t, g) and osa(t, g, 1) <= 1}
 
     def score(self, t: str) -> int:
         return 2 if t in self.given or t in self.short else 1 if self.options(t) else 0
@@ -197,6 +204,11 @@ class Reader:
             return ("open", key, sorted(opts))
         return ("full", key, sorted(opts) or [first])
 
+    def unsure(self, r: tuple[str, str, list[str]]) -> bool:
+        """Whether what was read has a given name of no vocabulary."""
+        given = r[2][0]
+        return r[0] == "full" and given != "only" and not given.startswith("team ") and given not in self.given
+
     def hyphens(self, toks: list[str]) -> list[str]:
         """Two words that make up a hyphenated given name become one."""
         out = []
@@ -209,7 +221,9 @@ class Reader:
 
 
 def read_names(names: DataFrame) -> DataFrame:
-    """(name, n_rows, kind, key, options) of distinct names; vocabularies are counted over all of them."""
+    """(name, n_rows, kind, key, options, unsure) of distinct names; vocabularies are counted over all of them.
+
+    unsure: the given name is in no vocabulary and not near one that is."""
     n = names.count()
     seen = names.mapInPandas(partners, "kind string, token string, partner string").distinct()
     vocab = seen.groupBy("kind", "token").agg(F.count("*").alias("n"))
@@ -219,10 +233,10 @@ def read_names(names: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(x, n, *r) for x, n in zip(b["name"], b["n_rows"], strict=True) if (r := reader.read(x)) is not None]
-            yield pd.DataFrame(rows, columns=["name", "n_rows", "kind", "key", "options"])
+            rows = [(x, n, *r, reader.unsure(r)) for x, n in zip(b["name"], b["n_rows"], strict=True) if (r := reader.read(x)) is not None]
+            yield pd.DataFrame(rows, columns=["name", "n_rows", "kind", "key", "options", "unsure"])
 
-    return names.mapInPandas(run, "name string, n_rows bigint, kind string, key string, options array<string>")
+    return names.mapInPandas(run, "name string, n_rows bigint, kind string, key string, options array<string>, unsure boolean")
 
 
 def segments(n: int) -> list[tuple[int, int]]:
@@ -318,7 +332,24 @@ def slips(near: DataFrame, forms: DataFrame) -> DataFrame:
     few, many, few_rows, many_rows = F.least("na", "nb"), F.greatest("na", "nb"), F.least("rows_a", "rows_b"), F.greatest("rows_a", "rows_b")
     rare = lambda d, n: (few <= n) | (few <= SLIP_SPELLINGS[d] * many) | (few_rows <= SLIP_ROWS[d] * many_rows)
     long = F.least(F.length("a"), F.length("b"))
-    return both.where(((F.col("d") <= 1) & rare(1, 2)) | ((F.col("d") == 2) & rare(2, 1) & (long >= 10))).select("block", "a", "b", "d")
+    return both.where(((F.col("d") <= 1) & rare(1, 2)) | ((F.col("d") == 2) & rare(2, 1) & (long >= LONG))).select("block", "a", "b", "d")
+
+
+def given_slips(full: DataFrame) -> DataFrame:
+    """(block, a, b, d): given names beside one surname (the block) of which one, in no vocabulary, can be a slip of the other.
+
+    full: (s, given, unsure, n, n_rows). The same join on the other part of the name: vocabularies know common given names only."""
+    new = full.where("unsure").select("s").distinct()
+    each = full.where("given not like 'team %' and given <> 'only'").join(new, "s", "left_semi")
+    each = cut(each.select(F.col("s").alias("block"), F.col("given").alias("s"), "unsure", "n", "n_rows"))
+    near = slips(segment_join(each), each).where("d <= 1")
+    unsure = each.where("unsure").select("block", "s")
+    pairs = near.join(unsure.withColumnRenamed("s", "a").withColumn("ua", F.lit(True)), ["block", "a"], "left").join(unsure.withColumnRenamed("s", "b").withColumn("ub", F.lit(True)), ["block", "b"], "left")
+    a, b, ends = F.col("a"), F.col("b"), list(ENDINGS)
+    cut_a, cut_b = F.substring("a", F.lit(1), F.length("a") - 1), F.substring("b", F.lit(1), F.length("b") - 1)
+    last_a, last_b = F.right("a", F.lit(1)), F.right("b", F.lit(1))
+    other = ((cut_a == b) & last_a.isin(ends) & (last_a != last_b)) | ((cut_b == a) & last_b.isin(ends) & (last_a != last_b)) | ((cut_a == cut_b) & last_a.isin(ends) & last_b.isin(ends))
+    return pairs.where((F.col("ua") | F.col("ub")) & ~other).select("block", "a", "b", "d")
 
 
 def link_names(names: DataFrame) -> DataFrame:
@@ -330,13 +361,14 @@ def link_names(names: DataFrame) -> DataFrame:
     read = cut(read_names(fan_out(names)))
     node = F.concat_ws("\t", F.col("kind"), F.col("key"), F.concat_ws(",", "options"))
     read = read.withColumn("node", node)
-    forms = cut(read.groupBy("node").agg(F.first("kind").alias("kind"), F.first("key").alias("key"), F.first("options").alias("options"), F.count("*").alias("n"), F.sum("n_rows").alias("n_rows")))
-    full = forms.where("kind = 'full'").select("node", F.col("key").alias("s"), F.col("options")[0].alias("given"), "n", "n_rows")
+    forms = cut(read.groupBy("node").agg(F.first("kind").alias("kind"), F.first("key").alias("key"), F.first("options").alias("options"), F.first("unsure").alias("unsure"), F.count("*").alias("n"), F.sum("n_rows").alias("n_rows")))
+    full = forms.where("kind = 'full'").select("node", F.col("key").alias("s"), F.col("options")[0].alias("given"), "unsure", "n", "n_rows")
     counted = full.select(F.col("given").alias("block"), "s", "n", "n_rows")
     near = slips(segment_join(counted), counted)
     # distinct (given, surname) is a node of its own: the near pair names both ends
     name_of = lambda g, s: F.concat_ws("\t", F.lit("full"), s, g)
     links = near.select(name_of(F.col("block"), F.col("a")).alias("l"), name_of(F.col("block"), F.col("b")).alias("r"))
+    links = links.unionByName(given_slips(full).select(name_of(F.col("a"), F.col("block")).alias("l"), name_of(F.col("b"), F.col("block")).alias("r")))
     roots = connected_components(links, "l", "r")
     whole = cut(full.join(roots, full.node == roots.node, "left").select(full.node, "s", "given", "n", "n_rows", F.coalesce("root", full.node).alias("entity")))
 

@@ -89,6 +89,15 @@ def test_slip_in_several_spellings(spark):
     assert len(of(saturated[0] + saturated[1])) == 1 and of(saturated[2]) != of(saturated[0])
 
 
+def test_given_names_that_no_vocabulary_knows(spark):
+    """Slips in rare given names are linked beside one surname; endings and established names are not."""
+    same = [("Xaviera Delacroixe", "Xavierra Delacroixe"), ("Qwertyu Smithsonel", "Qwertzu Smithsonel"), ("Madonna", "Madonnas")]
+    apart = [("Marisol Tobakuvel", "Marisola Tobakuvel"), ("Xaviera Bokuvel", "Xavierra Tomadel"), ("Zanto Gebuvel", "Zanta Gebuvel")]
+    got = {r["name"]: r["entity"] for r in N.link_names(spark.createDataFrame([(n,) for p in same + apart for n in p], "name string")).collect()}
+    assert all(got[a] == got[b] for a, b in same) and all(got[a] != got[b] for a, b in apart)
+    assert not N.other_ending("rene", "renee") and N.other_ending("maria", "mario") and N.other_ending("paula", "paul") and not N.other_ending("carl", "karl")
+
+
 def test_nothing(spark):
     assert N.link_names(spark.createDataFrame([], "name string")).count() == 0
 
