@@ -80,8 +80,12 @@ def first_sentences(c: Column, n: int = 3) -> Column:
     return F.when(s.endswith("."), s).otherwise(F.concat(s, F.lit(".")))
 
 
+#: The sites that are searched for signals.
+SITES = ("github.com", "reddit.com", "twitter.com", "huggingface.co")
+
+
 def search_query(title: Column) -> Column:
-    sites = " OR ".join(f"site:{s}" for s in ("github.com", "reddit.com", "twitter.com", "huggingface.co"))
+    sites = " OR ".join(f"site:{s}" for s in SITES)
     return F.concat(F.lit('"'), title, F.lit(f'" ({sites}) (review OR discussion OR implementation OR reproducibility)'))
 
 
@@ -120,6 +124,16 @@ def iso_utc(ts: Column) -> Column:
     return F.concat(base, F.when(micro == "000000", "").otherwise(F.concat(F.lit("."), micro)), F.lit("Z"))
 
 
+#: A time with date, clock and zone, up to microseconds.
+ISO_TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\.[0-9]{1,6})?(Z|[+-][0-9]{2}:[0-9]{2})$"
+
+
+def iso_time(c: Column, now: Column) -> Column:
+    """The instant of an ISO time with a zone; anything else counts as `now`."""
+    s = strip(c)
+    return F.coalesce(F.when(s.rlike(ISO_TIME), s.try_cast("timestamp")), now.cast("timestamp"))
+
+
 def chinese_date(ts: Column) -> Column:
     """Year, month, day and the weekday's name."""
     return F.concat(F.date_format(ts, "yyyy年MM月dd日"), F.lit(" "), F.element_at(F.array(*map(F.lit, WEEKDAYS)), F.weekday(ts) + 1))
@@ -168,9 +182,18 @@ def prompt_block(n: Column, title: Column, authors: Column, abstract: Column, ca
     return F.concat(*text)
 
 
-def report_line(n: Column, title: Column, authors: Column, url: Column, notes: Column | None = None) -> Column:
-    """A numbered entry of a paper for the report's prompt."""
-    text = [n.cast("string"), F.lit(". "), F.coalesce(title, F.lit("")), F.lit("\n   Authors: "), names_line(authors), F.lit("\n   URL: "), F.coalesce(url, F.lit(""))]
+#: Marks behind a title: its PDF is at hand, or could not be had.
+HAS_PDF, PDF_FAILED = " [📄 PDF]", " [⚠️ PDF失败]"
+
+
+def pdf_mark(has_pdf: Column, failed: Column) -> Column:
+    """A failed PDF goes before one at hand; nulls are no."""
+    return F.when(failed, PDF_FAILED).when(has_pdf, HAS_PDF).otherwise("")
+
+
+def report_line(n: Column, title: Column, authors: Column, url: Column, notes: Column | None = None, mark: Column | None = None) -> Column:
+    """A numbered entry of a paper for the report's prompt, with a mark behind its title if given."""
+    text = [n.cast("string"), F.lit(". "), F.coalesce(title, F.lit("")), F.lit("") if mark is None else mark, F.lit("\n   Authors: "), names_line(authors), F.lit("\n   URL: "), F.coalesce(url, F.lit(""))]
     if notes is not None:
         text.append(F.when(F.coalesce(notes, F.lit("")) != "", F.concat(F.lit("\n   🔍 Community Signals: "), notes)).otherwise(""))
     return F.concat(*text)

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from sievelark.functions import text as X
 from sievelark.operators.recall import known_label
 
-SUPERSEDED, UNMAPPED, INVALID = "superseded by newer event", "item_id not found in manifest", "invalid label"
+#: Why an event is rejected. A queue tells an unknown item from one without an id; a table does not.
+SUPERSEDED, INVALID = "superseded by newer event", "invalid label"
+UNKNOWN_ITEM, NO_ID, NO_MAPPING = "item_id not found in manifest", "no semantic_paper_id", "no semantic_paper_id mapping"
 
 
 def manifest_index(manifests: DataFrame, order: Column | list[Column]) -> DataFrame:
@@ -19,12 +21,25 @@ def manifest_index(manifests: DataFrame, order: Column | list[Column]) -> DataFr
 
 
 def resolve_events(events: DataFrame, index: DataFrame, own: str | None = "resolved_semantic_paper_id") -> DataFrame:
-    """paper_id: the event's own id if it has one, else the manifest's for its run and item; null if neither."""
-    m = index.select("run_id", "item_id", F.col("semantic_paper_id").alias("_m"))
+    """paper_id: the event's own id if it has one, else the manifest's for its run and item; null if neither.
+
+    in_manifest: whether the manifest has the event's item."""
+    m = index.select("run_id", "item_id", F.col("semantic_paper_id").alias("_m"), F.lit(True).alias("_in"))
     found = X.filled(F.col("_m"))
     if own:
         found = F.coalesce(F.nullif(X.normalize_paper_id(F.col(own)), F.lit("")), found)
-    return events.join(m, ["run_id", "item_id"], "left").withColumn("paper_id", found).drop("_m")
+    return events.join(m, ["run_id", "item_id"], "left").withColumns({"paper_id": found, "in_manifest": F.coalesce("_in", F.lit(False))}).drop("_m", "_in")
+
+
+def pending(events: DataFrame) -> DataFrame:
+    """The events not yet judged."""
+    return events.where(F.lower(X.strip(F.col("status"))) == "pending")
+
+
+def event_order(events: DataFrame, now: Column) -> list[Column]:
+    """When an event was made, then its id; a time that is no ISO time counts as `now`. Tables without created_at are ordered by arrival."""
+    at = X.iso_time(F.col("created_at"), now) if "created_at" in events.columns else F.col("received_at")
+    return [at, F.col("event_id")]
 
 
 def winners(events: DataFrame, by: str, order: list[Column]) -> DataFrame:
@@ -33,8 +48,10 @@ def winners(events: DataFrame, by: str, order: list[Column]) -> DataFrame:
     return g.select("_r.*")
 
 
-def outcomes(events: DataFrame, order: list[Column]) -> DataFrame:
-    """outcome and reason of every event (with paper_id): applied, or rejected as invalid, unmapped or superseded.
+def outcomes(events: DataFrame, order: list[Column], queue: bool = False) -> DataFrame:
+    """outcome and reason of every event (with paper_id and in_manifest): applied, or rejected as invalid, unmapped or superseded.
+
+    queue: an event without a paper is told as of an unknown item, or of an item without an id.
 
     The last place in the order of each paper is an aggregate with map-side combine, joined back to the
     events; no window holds a paper's events, so one paper may have a third of them. Events whose order
@@ -44,7 +61,7 @@ def outcomes(events: DataFrame, order: list[Column]) -> DataFrame:
     good = label.isNotNull() & F.col("paper_id").isNotNull()
     last = df.where(good).groupBy("paper_id").agg(F.max("_at").alias("_last"))
     df = df.join(last, "paper_id", "left")
-    reason = F.when(label.isNull(), INVALID).when(F.col("paper_id").isNull(), UNMAPPED).when(F.col("_at") != F.col("_last"), SUPERSEDED)
+    reason = F.when(label.isNull(), INVALID).when(F.col("paper_id").isNull(), F.when(F.col("in_manifest"), NO_ID).otherwise(UNKNOWN_ITEM) if queue else F.lit(NO_MAPPING)).when(F.col("_at") != F.col("_last"), SUPERSEDED)
     return df.withColumns({"outcome": F.when(reason.isNull(), "applied").otherwise("rejected"), "reason": reason}).select(*events.columns, "outcome", "reason")
 
 
@@ -52,7 +69,7 @@ def counters(df: DataFrame) -> DataFrame:
     """Events applied, rejected, of invalid label and skipped as unmapped."""
     return df.agg(
         F.count_if(F.col("outcome") == "applied").alias("applied"), F.count_if(F.col("outcome") == "rejected").alias("rejected"),
-        F.count_if(F.col("reason") == INVALID).alias("invalid"), F.count_if(F.col("reason") == UNMAPPED).alias("skipped"),
+        F.count_if(F.col("reason") == INVALID).alias("invalid"), F.count_if(F.col("reason").isin(UNKNOWN_ITEM, NO_ID, NO_MAPPING)).alias("skipped"),
     )
 
 
@@ -73,7 +90,7 @@ def apply_feedback(events: DataFrame, index: DataFrame, seeds: DataFrame, order:
     """(seeds after, every event with its outcome): one function behind file, queue and table front ends.
 
     own=None makes the manifest the only source of ids, as the queue does."""
-    judged = outcomes(resolve_events(events, index, own), order)
+    judged = outcomes(resolve_events(events, index, own), order, queue=own is None)
     decided = judged.where("outcome = 'applied'").select("paper_id", F.lower(X.strip(F.col("label"))).alias("label"))
     return merge_seeds(seeds, decided), judged
 

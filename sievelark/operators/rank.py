@@ -55,7 +55,7 @@ def batches(df: DataFrame, order: list[Column], size: int = 10) -> DataFrame:
 def parse_scores(answers: DataFrame, column: str = "answer") -> DataFrame:
     """(batch_id, k, paper_num, score, reason) of the JSON arrays in answers; scores divided by ten, bad ones 0; items that are no objects or miss a field are left out.
 
-    A batch holding a paper_num that is no whole number gives only the items before it: `bad` marks such batches."""
+    Of a batch holding a paper_num that is no whole number the items before it come out: `bad` marks such batches."""
     v = answers.select("batch_id", F.try_parse_json(json_array(F.col(column))).alias("v"))
     items = v.select("batch_id", F.posexplode_outer(F.try_variant_get("v", "$", "array<variant>")).alias("k", "x"))
     num, score = F.try_variant_get("x", "$.paper_num", "string"), F.try_variant_get("x", "$.score", "string")
@@ -65,6 +65,25 @@ def parse_scores(answers: DataFrame, column: str = "answer") -> DataFrame:
     return out.select("batch_id", "k", F.col("_num").try_cast("int").alias("paper_num"), "score", "reason", F.col("_bad").isNotNull().alias("bad"))
 
 
+def unusable(answers: DataFrame, column: str = "answer") -> DataFrame:
+    """batch_id of the answers that cannot be used as a whole: no JSON array in them, or a paper_num that is no whole number."""
+    broken = answers.where(F.try_variant_get(F.try_parse_json(json_array(F.col(column))), "$", "array<variant>").isNull()).select("batch_id")
+    return broken.unionByName(parse_scores(answers, column).where("bad").select("batch_id")).distinct()
+
+
+def with_fallback(rows: DataFrame, scores: DataFrame, answers: DataFrame) -> DataFrame:
+    """Scored rows as by join_scores; of a batch with an unusable answer every row once, with the score given before the answer broke off, else its old one or 0."""
+    bad = unusable(answers).withColumn("_bad", F.lit(True))
+    old = {"relevance_score": F.lit(0.0), "filter_reason": F.lit("")}
+    rows = rows.withColumns({c: v for c, v in old.items() if c not in rows.columns})
+    plain = rows.drop(*old)
+    good = join_scores(plain, scores.where("not bad"))
+    part = scores.groupBy("batch_id", "paper_num").agg(F.max_by("score", "k").alias("_s"), F.max_by("reason", "k").alias("_r")).withColumnRenamed("paper_num", "pos")
+    kept = rows.join(bad, "batch_id").join(part, ["batch_id", "pos"], "left")
+    kept = kept.withColumns({"relevance_score": F.coalesce("_s", "relevance_score", F.lit(0.0)), "filter_reason": F.coalesce("_r", "filter_reason", F.lit(""))})
+    return good.unionByName(kept.select(*good.columns))
+
+
 def join_scores(rows: DataFrame, scores: DataFrame) -> DataFrame:
     """Rows of a batch that a score names by position; a position named twice gives the row twice, with the last score."""
     last = scores.groupBy("batch_id", "paper_num").agg(F.max_by("score", "k").alias("relevance_score"), F.max_by("reason", "k").alias("filter_reason"), F.count("*").alias("_times"))

@@ -36,27 +36,41 @@ def within_budget(keys: DataFrame, most: int, order: list[Column]) -> DataFrame:
     return keys.join(first, cols, "left").select(*cols, F.coalesce("_in", F.lit(False)).alias("in_budget"))
 
 
-def resolve(items: DataFrame, by_arxiv: DataFrame, by_title: DataFrame, budget: int | None = None) -> DataFrame:
-    """paper_id, status and method of each item (item_ord, title, url, arxiv_id, semantic_paper_id).
+#: Sources whose items are looked up, and most lookups without an access key.
+LOOKED_UP, KEYLESS = ("arxiv", "huggingface"), 10
+
+
+def resolve(items: DataFrame, by_arxiv: DataFrame, by_title: DataFrame, budget: int | None = None, has_key: bool = True) -> DataFrame:
+    """paper_id, status, method and error of each item (item_ord, title, url, source, arxiv_id, semantic_paper_id).
 
     by_arxiv: (arxiv_key, found_id, failed); a failed lookup ends the search. by_title: (item_ord, found_id).
-    Each distinct key is looked up once; with a budget, keys beyond it are errors."""
+    Items of sources that are not looked up stay unresolved unless they have an id. Each distinct key is looked
+    up once, at the first item that has it (`asked`); with a budget (KEYLESS at most without a key), keys
+    beyond it in the order of those items are errors."""
     own = X.normalize_paper_id(F.col("semantic_paper_id"))
     x = items.withColumns({"_own": F.nullif(own, F.lit("")), "_a": F.nullif(X.normalize_arxiv_id(F.col("arxiv_id")), F.lit("")), "lookup_key": X.cache_key(F.col("arxiv_id"), F.col("title"), F.col("url"))})
+    looked = F.col("_own").isNull() & F.lower(X.strip(F.col("source"))).isin(*LOOKED_UP)
+    wanted = x.where(looked).groupBy("lookup_key").agg(F.min("item_ord").alias("_first"))
     if budget is not None:
-        wanted = x.where("_own is null").select("lookup_key").distinct()
-        x = x.join(within_budget(wanted, budget, [F.col("lookup_key")]), "lookup_key", "left")
+        most = budget if has_key else min(budget, KEYLESS)
+        x = x.join(within_budget(wanted, most, [F.col("_first"), F.col("lookup_key")]), "lookup_key", "left")
     else:
-        x = x.withColumn("in_budget", F.lit(True))
+        x = x.join(wanted, "lookup_key", "left").withColumn("in_budget", F.lit(True))
     x = x.join(by_arxiv.select(F.col("arxiv_key").alias("_a"), F.col("found_id").alias("_fa"), "failed"), "_a", "left")
     x = x.join(by_title.groupBy("item_ord").agg(F.min("found_id").alias("_ft")), "item_ord", "left")
-    over = F.col("_own").isNull() & ~F.coalesce("in_budget", F.lit(True))
+    over = looked & ~F.coalesce("in_budget", F.lit(True))
     failed = F.coalesce("failed", F.lit(False))
-    status = F.when(F.col("_own").isNotNull(), "existing").when(over | failed, "error").when(F.coalesce("_fa", "_ft").isNotNull(), "resolved").otherwise("unresolved")
-    method = F.when(F.col("_own").isNotNull(), "existing").when(over, "budget_exhausted").when(failed | F.col("_fa").isNotNull(), "arxiv").when(F.col("_ft").isNotNull(), "title_search").otherwise("none")
+    status = F.when(F.col("_own").isNotNull(), "existing").when(~looked, "unresolved").when(over | failed, "error").when(F.coalesce("_fa", "_ft").isNotNull(), "resolved").otherwise("unresolved")
+    method = F.when(F.col("_own").isNotNull(), "existing").when(over | ~looked, "none").when(failed | F.col("_fa").isNotNull(), "arxiv").when(F.col("_ft").isNotNull(), "title_search").otherwise("none")
     found = F.when(status == "existing", F.col("_own")).when(status == "resolved", F.coalesce("_fa", "_ft"))
-    return x.select("item_ord", "lookup_key", found.alias("paper_id"), status.alias("status"), method.alias("method"))
+    asked = F.when(looked, F.col("item_ord") == F.col("_first"))
+    return x.select("item_ord", "lookup_key", found.alias("paper_id"), status.alias("status"), method.alias("method"), F.when(over, "budget_exhausted").alias("error"), asked.alias("asked"))
 
 
 def stats(resolved: DataFrame) -> DataFrame:
-    return resolved.groupBy("status").agg(F.count("*").alias("n_rows"))
+    """The six counters of a run: an item over the budget counts as unresolved where its key comes first, and as an error where that answer is used again."""
+    first, over = F.coalesce("asked", F.lit(False)), F.col("error").isNotNull()
+    return resolved.agg(
+        F.count_if(F.col("status").isin("existing", "resolved")).alias("resolved"), F.count_if((F.col("status") == "unresolved") | (over & first)).alias("unresolved"), F.count_if((F.col("status") == "error") & ~(over & first)).alias("errors"),
+        F.count_if(~F.col("asked")).alias("cache_hits"), F.count_if(first & ~over).alias("lookups"), F.count_if(first & over).alias("budget_skips"),
+    )

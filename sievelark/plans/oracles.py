@@ -61,12 +61,17 @@ MANIFEST = f"""SELECT run_id, 'p' || CASE WHEN pos < 10 THEN '0' || pos ELSE pos
   SELECT f.run_id, row_number() OVER (PARTITION BY f.run_id ORDER BY f.at) AS pos, o.* FROM (SELECT run_id, href, min(pos) AS at FROM links GROUP BY ALL) f
   JOIN (SELECT *, {norm_url("url")} AS href FROM papers QUALIFY row_number() OVER (PARTITION BY {norm_url("url")} ORDER BY item_ord) = 1) o ON o.href = f.href)"""
 BASE_CTE = f"links AS ({LINKS}), manifest AS ({MANIFEST}), events_once AS ({EVENTS})"
+ISO = "^[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}:[0-9]{2}:[0-9]{2}(\\.[0-9]{1,6})?(Z|[+-][0-9]{2}:[0-9]{2})$"
+WHEN = f"coalesce(CASE WHEN regexp_matches({strip('created_at')}, '{ISO}') THEN epoch_us(try_cast({strip('created_at')} AS TIMESTAMPTZ)) END, epoch_us({AS_OF}))"
+PENDING = f"lower({strip('status')}) = 'pending'"
 RESOLVED = f"""{BASE_CTE}, resolved AS (SELECT e.*, coalesce(nullif({paper_id("e.resolved_semantic_paper_id")}, ''), m.semantic_paper_id) AS paper_id FROM events_once e LEFT JOIN manifest m ON e.run_id = m.run_id AND e.item_id = m.item_id),
-judged AS (SELECT *, lower(trim(label)) IN ('positive', 'negative', 'undecided') AS good FROM resolved),
-outcome AS (SELECT *, CASE WHEN NOT good THEN 'invalid label' WHEN paper_id IS NULL THEN 'item_id not found in manifest' WHEN row_number() OVER (PARTITION BY paper_id, good AND paper_id IS NOT NULL ORDER BY received_at DESC, event_id DESC) > 1 THEN 'superseded by newer event' END AS reason FROM judged)"""
+judged AS (SELECT *, {WHEN} AS made_at, lower(trim(label)) IN ('positive', 'negative', 'undecided') AS good FROM resolved WHERE {PENDING}),
+outcome AS (SELECT *, CASE WHEN NOT good THEN 'invalid label' WHEN paper_id IS NULL THEN 'no semantic_paper_id mapping' WHEN row_number() OVER (PARTITION BY paper_id, good AND paper_id IS NOT NULL ORDER BY made_at DESC, event_id DESC) > 1 THEN 'superseded by newer event' END AS reason FROM judged)"""
 SEEDS = f"""SELECT paper_id, CASE WHEN min(item_ord) % 2 = 0 THEN 'positive' ELSE 'negative' END AS polarity FROM (SELECT nullif({paper_id("semantic_paper_id")}, '') AS paper_id, item_ord FROM papers) WHERE paper_id IS NOT NULL GROUP BY 1"""
 BATCH = "SELECT item_ord, (row_number() OVER (ORDER BY item_ord) - 1) // 10 AS batch_id, (row_number() OVER (ORDER BY item_ord) - 1) % 10 + 1 AS pos, * EXCLUDE (item_ord) FROM papers"
 SCORED = f"SELECT item_ord, batch_id, pos AS paper_num, round((item_ord * 7 % 11) / 10.0, 4) AS score, 'r' || item_ord AS reason FROM ({BATCH}) WHERE item_ord % 11 <> 0"
+FALLBACK = f"""SELECT b.item_ord, coalesce(CASE WHEN b.batch_id % 6 <> 1 THEN s.score END, 0.0)::DOUBLE AS relevance_score, coalesce(CASE WHEN b.batch_id % 6 <> 1 THEN s.reason END, '') AS filter_reason
+ FROM ({BATCH}) b LEFT JOIN ({SCORED}) s ON s.item_ord = b.item_ord WHERE b.batch_id % 6 IN (1, 2) OR s.item_ord IS NOT NULL"""
 YEAR = "try_cast(substr(published_date, 1, 4) AS INTEGER)"
 NAMES = f"list_filter(list_transform(authors, lambda a: {match_title('a.name')}), lambda n: n <> '')"
 TITLES = f"""SELECT a.item_ord AS id, b.item_ord AS match_id FROM papers a JOIN papers b ON {match_title("a.title")} = {match_title("b.title")} AND {match_title("a.title")} <> '' AND a.item_ord <> b.item_ord
@@ -75,14 +80,14 @@ LOOKUP = f"CASE WHEN {arxiv_id('arxiv_id')} <> '' THEN 'arxiv:' || {arxiv_id('ar
 
 
 def resolved_sql(budget: bool) -> str:
-    over = "own IS NULL AND NOT coalesce(in_budget, false)" if budget else "false"
-    return f"""WITH titles AS ({TITLES}), p AS (SELECT item_ord, nullif({paper_id("semantic_paper_id")}, '') AS own, nullif({arxiv_id("arxiv_id")}, '') AS a, {LOOKUP} AS lookup_key FROM papers),
+    over = "looked AND NOT coalesce(in_budget, false)" if budget else "false"
+    return f"""WITH titles AS ({TITLES}), p AS (SELECT item_ord, nullif({paper_id("semantic_paper_id")}, '') AS own, nullif({arxiv_id("arxiv_id")}, '') AS a, {LOOKUP} AS lookup_key, nullif({paper_id("semantic_paper_id")}, '') IS NULL AND coalesce(lower(trim(source)) IN ('arxiv', 'huggingface'), false) AS looked FROM papers),
 fa AS (SELECT {arxiv_id("arxiv_id")} AS a, min({paper_id("semantic_paper_id")}) AS found FROM papers WHERE nullif(trim(semantic_paper_id), '') IS NOT NULL AND nullif(trim(arxiv_id), '') IS NOT NULL GROUP BY 1),
 ft AS (SELECT t.id AS item_ord, arg_min(q.own, q.item_ord) AS found FROM titles t JOIN p q ON q.item_ord = t.match_id WHERE q.own IS NOT NULL GROUP BY 1),
-b AS (SELECT lookup_key, true AS in_budget FROM (SELECT DISTINCT lookup_key FROM p WHERE own IS NULL) ORDER BY lookup_key LIMIT 25),
-r AS (SELECT p.item_ord, own, fa.found AS fa, ft.found AS ft, {over} AS over_it FROM p LEFT JOIN fa ON fa.a = p.a LEFT JOIN ft ON ft.item_ord = p.item_ord LEFT JOIN b ON b.lookup_key = p.lookup_key),
-s AS (SELECT item_ord, CASE WHEN own IS NOT NULL THEN 'existing' WHEN over_it THEN 'error' WHEN coalesce(fa, ft) IS NOT NULL THEN 'resolved' ELSE 'unresolved' END AS status,
- CASE WHEN own IS NOT NULL THEN 'existing' WHEN over_it THEN 'budget_exhausted' WHEN fa IS NOT NULL THEN 'arxiv' WHEN ft IS NOT NULL THEN 'title_search' ELSE 'none' END AS method, own, fa, ft FROM r)
+w AS (SELECT lookup_key, min(item_ord) AS first_ord FROM p WHERE looked GROUP BY 1), b AS (SELECT lookup_key, true AS in_budget FROM w ORDER BY first_ord LIMIT 25),
+r AS (SELECT p.item_ord, own, looked, p.item_ord = w.first_ord AS is_first, fa.found AS fa, ft.found AS ft, {over} AS over_it FROM p LEFT JOIN fa ON fa.a = p.a LEFT JOIN ft ON ft.item_ord = p.item_ord LEFT JOIN b ON b.lookup_key = p.lookup_key LEFT JOIN w ON w.lookup_key = p.lookup_key),
+s AS (SELECT item_ord, looked, is_first, over_it, CASE WHEN over_it THEN 'budget_exhausted' END AS error, CASE WHEN own IS NOT NULL THEN 'existing' WHEN NOT looked THEN 'unresolved' WHEN over_it THEN 'error' WHEN coalesce(fa, ft) IS NOT NULL THEN 'resolved' ELSE 'unresolved' END AS status,
+ CASE WHEN own IS NOT NULL THEN 'existing' WHEN over_it OR NOT looked THEN 'none' WHEN fa IS NOT NULL THEN 'arxiv' WHEN ft IS NOT NULL THEN 'title_search' ELSE 'none' END AS method, own, fa, ft FROM r)
 SELECT """
 
 
@@ -116,6 +121,10 @@ def token_sql(secret: str) -> str:
  SELECT run_id, item_id, label, token, 'https://feedback.example/feedback?t=' || token AS link FROM t"""
 
 
+EMBEDDING = """WITH v AS (SELECT vec_id, label, unnest(embedding)::DOUBLE AS x, unnest(range(len(embedding))) AS i FROM embeddings),
+ q AS (SELECT i, coalesce(avg(x) FILTER (label = 1), 0) - coalesce(avg(x) FILTER (label = 2), 0) AS q FROM v GROUP BY i),
+ s AS (SELECT vec_id, sum(x * q) / (sqrt(sum(x * x)) * sqrt(sum(q * q))) AS score FROM v JOIN q ON q.i = v.i WHERE label NOT IN (1, 2) GROUP BY 1)
+ SELECT vec_id, round(score, 6) AS score FROM s ORDER BY s.score DESC, vec_id LIMIT 20"""
 ORACLES: dict[str, str] = {
     "feedback_token": token_sql("not a secret"),
     "flagship_recall_rank": f"SELECT item_ord, title, array_to_string({HITS}, ',') AS keywords, len({HITS})::BIGINT AS n FROM ({UNIQUE}) WHERE {KEPT} AND len({HITS}) > 0 ORDER BY n DESC, item_ord LIMIT 20",
@@ -155,6 +164,7 @@ ORACLES: dict[str, str] = {
     "prompt_blocks": f"""SELECT item_ord, batch_id, chr(10) || 'Paper ' || pos || ':' || chr(10) || 'Title: ' || coalesce(title, '') || chr(10) || 'Authors: ' || {names_line(True)} || chr(10) || 'Abstract: ' || left(coalesce(abstract, ''), 600) || '...' || chr(10) || 'Categories: ' ||
  CASE WHEN len(categories) > 0 THEN array_to_string(categories[1:3], ', ') ELSE 'N/A' END AS block FROM ({BATCH})""",
     "report_lines": f"SELECT item_ord, row_number() OVER (ORDER BY item_ord) || '. ' || coalesce(title, '') || chr(10) || '   Authors: ' || {names_line(False)} || chr(10) || '   URL: ' || coalesce(url, '') AS line FROM papers",
+    "report_lines_pdf": f"SELECT item_ord, row_number() OVER (ORDER BY item_ord) || '. ' || coalesce(title, '') || CASE WHEN item_ord % 5 = 0 THEN ' [⚠️ PDF失败]' WHEN source = 'arxiv' THEN ' [📄 PDF]' ELSE '' END || chr(10) || '   Authors: ' || {names_line(False)} || chr(10) || '   URL: ' || coalesce(url, '') AS line FROM papers",
     "blog_lines": "SELECT post_id AS item_ord, row_number() OVER (ORDER BY post_id) || '. ' || coalesce(title, '') || chr(10) || '   Source: ' || coalesce(source_name, 'Unknown') || chr(10) || '   URL: ' || coalesce(url, '') || chr(10) || '   Content: ' || CASE WHEN coalesce(content, '') = '' THEN 'No content preview' ELSE left(content, 500) END || '...' AS line FROM blog_posts",
     "event_normalize": f"SELECT event_id, lower({strip('label')}) AS label, coalesce(nullif(lower({strip('status')}), ''), 'pending') AS status, {strip('reviewer')} AS reviewer, {paper_id('resolved_semantic_paper_id')} AS paper_id, {strip('error')} AS error FROM ({EVENTS})",
     "run_report": "SELECT run_id, length(report_html)::BIGINT AS length FROM feedback_runs WHERE run_id = (SELECT min(run_id) FROM feedback_runs)",
@@ -172,7 +182,7 @@ ORACLES: dict[str, str] = {
  m AS (SELECT seen, max(seen_at) AS seen_at FROM (SELECT seen, seen_at FROM semantic_scholar_memory UNION ALL SELECT key, {AS_OF} FROM ({KEYS}) WHERE item_ord IN (SELECT item_ord FROM shown)) GROUP BY 1)
  SELECT seen, seen_at FROM m WHERE {strip("seen")} <> '' AND seen_at >= {AS_OF} - INTERVAL {TTL} DAY""",
     "report_visible": f"WITH links AS ({LINKS}) SELECT item_ord, {norm_url('url')} AS href FROM papers WHERE {norm_url('url')} IN (SELECT href FROM links)",
-    "manifest_visible": "SELECT source, count(*) AS n_rows FROM papers GROUP BY 1",
+    "manifest_visible": f"WITH links AS ({LINKS}) SELECT source, count(*) AS n_rows FROM papers WHERE (SELECT count(*) FROM links) = 0 OR {norm_url('url')} IN (SELECT href FROM links) GROUP BY 1",
     "item_numbering": f"WITH {BASE_CTE} SELECT run_id, item_id, item_ord, title, semantic_paper_id, feedback_enabled FROM manifest",
     "questionnaire": f"WITH {BASE_CTE} SELECT run_id, item_id, 'undecided' AS label, '' AS note FROM manifest WHERE feedback_enabled",
     "manifest_documents": f"WITH {BASE_CTE} SELECT run_id, count(*) AS n_papers, min_by(item_id, pos) AS first_item FROM manifest GROUP BY 1",
@@ -184,13 +194,16 @@ ORACLES: dict[str, str] = {
     "label_validation": f"SELECT label, CASE WHEN lower(trim(label)) IN ('positive', 'negative', 'undecided') THEN lower(trim(label)) END AS known, count(*) AS n_events FROM ({EVENTS}) GROUP BY 1, 2",
     "event_resolve": f"WITH {RESOLVED} SELECT event_id, run_id, item_id, paper_id FROM resolved",
     "event_manifest_miss": f"WITH {BASE_CTE} SELECT e.run_id, count(*) AS n_missing FROM events_once e LEFT JOIN manifest m ON e.run_id = m.run_id AND e.item_id = m.item_id WHERE m.semantic_paper_id IS NULL GROUP BY 1",
-    "event_winner": f"SELECT item_id, event_id, label, received_at FROM ({EVENTS}) WHERE item_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY received_at DESC, event_id DESC) = 1",
+    "event_winner": f"WITH {RESOLVED} SELECT paper_id, event_id, label, created_at FROM outcome WHERE reason IS NULL",
+    "queue_outcome": f"""WITH {BASE_CTE}, j AS (SELECT e.*, m.semantic_paper_id AS paper_id, m.item_id IS NOT NULL AS known, lower(trim(label)) IN ('positive', 'negative', 'undecided') AS good, {WHEN} AS made_at FROM events_once e LEFT JOIN manifest m ON e.run_id = m.run_id AND e.item_id = m.item_id WHERE {PENDING}),
+ o AS (SELECT *, CASE WHEN NOT good THEN 'invalid label' WHEN NOT known THEN 'item_id not found in manifest' WHEN paper_id IS NULL THEN 'no semantic_paper_id' WHEN row_number() OVER (PARTITION BY paper_id, good ORDER BY made_at DESC, event_id DESC) > 1 THEN 'superseded by newer event' END AS reason FROM j)
+ SELECT event_id, paper_id, CASE WHEN reason IS NULL THEN 'applied' ELSE 'rejected' END AS outcome, reason FROM o""",
     "event_outcome": f"WITH {RESOLVED} SELECT event_id, paper_id, CASE WHEN reason IS NULL THEN 'applied' ELSE 'rejected' END AS outcome, reason FROM outcome",
-    "apply_counts": f"WITH {RESOLVED} SELECT count(*) FILTER (reason IS NULL) AS applied, count(reason) AS rejected, count(*) FILTER (reason = 'invalid label') AS invalid, count(*) FILTER (reason = 'item_id not found in manifest') AS skipped FROM outcome",
-    "latest_label": f"SELECT run_id, item_id, arg_max(label, (received_at, event_id)) AS label FROM ({EVENTS}) GROUP BY 1, 2",
+    "apply_counts": f"WITH {RESOLVED} SELECT count(*) FILTER (reason IS NULL) AS applied, count(reason) AS rejected, count(*) FILTER (reason = 'invalid label') AS invalid, count(*) FILTER (reason = 'no semantic_paper_id mapping') AS skipped FROM outcome",
+    "latest_label": f"SELECT run_id, item_id, arg_max(label, (made_at, event_id)) AS label FROM (SELECT *, {WHEN} AS made_at FROM ({EVENTS})) GROUP BY 1, 2",
     "status_distribution": f"SELECT status, source, count(*) AS n_events FROM ({EVENTS}) GROUP BY 1, 2",
     "recent_events": f"SELECT event_id, received_at, label FROM ({EVENTS}) ORDER BY received_at DESC, event_id DESC LIMIT 20",
-    "pending_events": f"SELECT event_id, run_id, item_id, lower(trim(label)) AS label FROM ({EVENTS}) WHERE lower(status) = 'pending'",
+    "pending_events": f"SELECT event_id, run_id, item_id, lower(trim(label)) AS label FROM ({EVENTS}) WHERE {PENDING}",
     "seed_merge": f"""WITH {RESOLVED}, seeds AS ({SEEDS}), d AS (SELECT paper_id, lower(trim(label)) AS l FROM outcome WHERE reason IS NULL)
  SELECT * FROM (SELECT coalesce(s.paper_id, d.paper_id) AS paper_id, coalesce(l, polarity) AS polarity FROM seeds s FULL JOIN d ON s.paper_id = d.paper_id) WHERE polarity IN ('positive', 'negative')""",
     "seed_sizes": f"SELECT polarity, count(*) AS n_ids FROM ({SEEDS}) GROUP BY 1",
@@ -201,18 +214,21 @@ ORACLES: dict[str, str] = {
  SELECT item_ord, coalesce(a.v, b.v, c.v) AS paper_id, CASE WHEN a.v IS NOT NULL THEN 'item_id' WHEN b.v IS NOT NULL THEN 'paper_id' WHEN c.v IS NOT NULL THEN 'title_url' END AS matched_by
  FROM l LEFT JOIN a ON a.item_id = l.item_id LEFT JOIN b ON b.v = l.sp LEFT JOIN c ON c.t = l.t AND c.u = l.u""",
     "batch_assign": f"SELECT item_ord, batch_id::BIGINT AS batch_id, pos::BIGINT AS pos FROM ({BATCH})",
-    "llm_json_parse": f"SELECT batch_id::BIGINT AS batch_id, paper_num::BIGINT AS paper_num, score::DOUBLE AS score, reason FROM ({SCORED})",
-    "score_join": f"SELECT item_ord, score::DOUBLE AS relevance_score, reason AS filter_reason FROM ({SCORED})",
-    "topk_rank": f"SELECT item_ord, score::DOUBLE AS relevance_score FROM ({SCORED}) ORDER BY score DESC, item_ord LIMIT 20",
+    "llm_json_parse": f"SELECT batch_id::BIGINT AS batch_id, paper_num::BIGINT AS paper_num, score::DOUBLE AS score, reason FROM ({SCORED}) WHERE batch_id % 6 <> 1",
+    "score_join": f"SELECT item_ord, relevance_score, filter_reason FROM ({FALLBACK})",
+    "topk_rank": f"SELECT item_ord, relevance_score FROM ({FALLBACK}) ORDER BY relevance_score DESC, item_ord LIMIT 20",
     "default_scorer": "SELECT item_ord, round(n / 10.0, 4)::DOUBLE AS relevance_score, n || ' keywords' AS filter_reason FROM (SELECT item_ord, "
     + " + ".join(f"contains(lower(coalesce(title, '') || ' ' || coalesce(abstract, '')), '{k.lower()}')::INT" for k in sorted(set(INCLUDE)))
     + " AS n FROM papers)",
     "title_match": f"SELECT id, min(match_id) AS match_id FROM ({TITLES}) GROUP BY 1",
     "lookup_budget": f"SELECT lookup_key, row_number() OVER (ORDER BY lookup_key) <= 25 AS in_budget FROM (SELECT DISTINCT {LOOKUP} AS lookup_key FROM papers)",
-    "resolve_order": resolved_sql(False) + "item_ord, CASE status WHEN 'existing' THEN own WHEN 'resolved' THEN coalesce(fa, ft) END AS paper_id, status, method FROM s",
-    "resolver_stats": resolved_sql(True) + "status, count(*) AS n_rows FROM s GROUP BY 1",
-    "author_overlap": f"SELECT item_ord, list_has_any(n, b) AS shared FROM (SELECT item_ord, {NAMES} AS n, lag({NAMES}) OVER (PARTITION BY {norm_url('url')} ORDER BY item_ord) AS b FROM papers) WHERE b IS NOT NULL",
+    "resolve_order": resolved_sql(False) + "item_ord, CASE status WHEN 'existing' THEN own WHEN 'resolved' THEN coalesce(fa, ft) END AS paper_id, status, method, error FROM s",
+    "resolver_stats": resolved_sql(True) + """count(*) FILTER (status IN ('existing', 'resolved')) AS resolved, count(*) FILTER (status = 'unresolved' OR (over_it AND is_first)) AS unresolved, count(*) FILTER (status = 'error' AND NOT (over_it AND is_first)) AS errors,
+ count(*) FILTER (looked AND NOT is_first) AS cache_hits, count(*) FILTER (looked AND is_first AND NOT over_it) AS lookups, count(*) FILTER (looked AND is_first AND over_it) AS budget_skips FROM s""",
+    "author_overlap": f"SELECT item_ord, list_has_any(n, b) AS shared FROM (SELECT item_ord, {NAMES} AS n, lag({NAMES}) OVER (PARTITION BY {norm_url('url')} ORDER BY item_ord) AS b FROM papers WHERE {norm_url('url')} <> '') WHERE b IS NOT NULL",
     "funnel_counts": DIGEST + " SELECT 'fetched' AS stage, count(*) AS n_rows FROM papers UNION ALL SELECT 'new', count(*) FROM new_items UNION ALL SELECT 'unique', count(*) FROM uniq UNION ALL SELECT 'recalled', count(*) FROM rec UNION ALL SELECT 'ranked', least(20, count(*)) FROM rec",
-    "stream_apply": "SELECT item_id, arg_max(event_id, (received_at, event_id)) AS event_id, arg_max(label, (received_at, event_id)) AS label FROM feedback_events GROUP BY 1",
-    "stream_daily": "SELECT (date_trunc('day', received_at))::TIMESTAMP AS starts, label, count(*) AS n_events FROM feedback_events GROUP BY 1, 2",
+    "stream_apply": f"WITH {RESOLVED} SELECT paper_id, event_id, label FROM outcome WHERE reason IS NULL",
+    "stream_daily": f"SELECT (date_trunc('day', received_at))::TIMESTAMP AS starts, label, count(*) AS n_events FROM ({EVENTS}) GROUP BY 1, 2",
+    "token_verify": "WITH " + token_sql("not a secret").split("WITH ", 1)[1].rsplit(" SELECT ", 1)[0] + """ SELECT CASE WHEN label = 'negative' THEN 'invalid token signature' END AS error, CASE WHEN label <> 'negative' THEN label END AS label, count(*) AS n_tokens FROM t GROUP BY 1, 2""",
+    "embedding_knn": EMBEDDING,
 }

@@ -77,10 +77,10 @@ def apply_files(spark: SparkSession, events: str, manifests: str, seeds: str, dr
     store = state.Versioned(spark, seeds)
     old = store.read()
     old = spark.createDataFrame([], "paper_id string, polarity string") if old is None else old
-    pending = spark.read.parquet(events).where("lower(status) = 'pending'")
+    pending = feedback.pending(spark.read.parquet(events))
     entries = state.manifest_entries(state.documents(spark, manifests))
     index = feedback.manifest_index(entries, [F.col("file_rank"), F.col("pos")])
-    after, judged = feedback.apply_feedback(pending, index, old, [F.col("received_at"), F.col("event_id")])
+    after, judged = feedback.apply_feedback(pending, index, old, feedback.event_order(pending, F.current_timestamp()))
     after, judged = cut(after), cut(judged)
     out = feedback.counters(judged).first().asDict()
     store.write(after, dry_run)

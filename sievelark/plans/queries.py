@@ -56,8 +56,16 @@ def _manifest(s: SparkSession, d: str) -> DataFrame:
     return report.manifest(_runs(s, d), _papers(s, d))
 
 
+def _pending(s: SparkSession, d: str) -> DataFrame:
+    return feedback.pending(_events(s, d))
+
+
 def _order() -> list[Column]:
-    return [F.col("received_at"), F.col("event_id")]
+    return [X.iso_time(F.col("created_at"), F.lit(AS_OF)), F.col("event_id")]
+
+
+def _index(s: SparkSession, d: str) -> DataFrame:
+    return feedback.manifest_index(_manifest(s, d), F.col("pos"))
 
 
 # --- recall, filters, dedup -------------------------------------------------------------
@@ -268,6 +276,13 @@ def report_lines(s, d):
     return b.select("item_ord", X.report_line(F.col("n"), F.col("title"), F.col("authors"), F.col("url")).alias("line"))
 
 
+@query
+def report_lines_pdf(s, d):
+    b = recall.numbered(_papers(s, d), [F.col("item_ord")], "n")
+    mark = X.pdf_mark(F.col("source") == "arxiv", F.col("item_ord") % 5 == 0)
+    return b.select("item_ord", X.report_line(F.col("n"), F.col("title"), F.col("authors"), F.col("url"), mark=mark).alias("line"))
+
+
 @query
 def blog_lines(s, d):
     b = recall.numbered(schema.blog_items(_posts(s, d)), [F.col("item_ord")], "n")
@@ -362,8 +377,7 @@ def report_visible(s, d):
 
 @query
 def manifest_visible(s, d):
-    none = report.shown_links(_runs(s, d).withColumn("report_html", F.lit("")))
-    return report.visible(_papers(s, d), none, all_if_none=True).groupBy("source").agg(n_().alias("n_rows"))
+    return report.visible(_papers(s, d), report.shown_links(_runs(s, d)), all_if_none=True).groupBy("source").agg(n_().alias("n_rows"))
 
 
 @query
@@ -422,19 +436,27 @@ def event_manifest_miss(s, d):
 
 @query
 def event_winner(s, d):
-    return feedback.winners(_events(s, d), "item_id", _order()).select("item_id", "event_id", "label", "received_at")
+    good = feedback.resolve_events(_pending(s, d), _index(s, d)).where(recall.known_label().isNotNull())
+    return feedback.winners(good, "paper_id", _order()).select("paper_id", "event_id", "label", "created_at")
 
 
 @query
 def event_outcome(s, d):
     index = feedback.manifest_index(_manifest(s, d), F.col("pos"))
-    return feedback.outcomes(feedback.resolve_events(_events(s, d), index), _order()).select("event_id", "paper_id", "outcome", "reason")
+    return feedback.outcomes(feedback.resolve_events(_pending(s, d), index), _order()).select("event_id", "paper_id", "outcome", "reason")
+
+
+@query
+def queue_outcome(s, d):
+    """As a queue is judged: the manifest alone gives ids."""
+    judged = feedback.outcomes(feedback.resolve_events(_pending(s, d), _index(s, d), own=None), _order(), queue=True)
+    return judged.select("event_id", "paper_id", "outcome", "reason")
 
 
 @query
 def apply_counts(s, d):
     index = feedback.manifest_index(_manifest(s, d), F.col("pos"))
-    return feedback.counters(feedback.outcomes(feedback.resolve_events(_events(s, d), index), _order()))
+    return feedback.counters(feedback.outcomes(feedback.resolve_events(_pending(s, d), index), _order()))
 
 
 @query
@@ -454,7 +476,7 @@ def recent_events(s, d):
 
 @query
 def pending_events(s, d):
-    return _events(s, d).where("lower(status) = 'pending'").select("event_id", "run_id", "item_id", F.lower(X.strip(F.col("label"))).alias("label"))
+    return _pending(s, d).select("event_id", "run_id", "item_id", F.lower(X.strip(F.col("label"))).alias("label"))
 
 
 def _seeds(s, d):
@@ -466,7 +488,7 @@ def _seeds(s, d):
 @query
 def seed_merge(s, d):
     index = feedback.manifest_index(_manifest(s, d), F.col("pos"))
-    return feedback.apply_feedback(_events(s, d), index, _seeds(s, d), _order())[0]
+    return feedback.apply_feedback(_pending(s, d), index, _seeds(s, d), _order())[0]
 
 
 @query
@@ -499,12 +521,19 @@ def batch_assign(s, d):
 
 
 def _answers(rows: DataFrame) -> DataFrame:
-    """Model answers made up from the rows: a score a row, every seventh quoted, every eleventh left out."""
+    """Model answers made up from the rows: a score a row, every seventh quoted, every eleventh left out; of six batches one is no array, and one ends in a number that is none."""
     score = (F.col("item_ord") * 7 % 11).cast("string")
     one = F.concat(F.lit('{"paper_num": '), F.col("pos").cast("string"), F.lit(', "score": '), F.when(F.col("item_ord") % 7 == 0, F.concat(F.lit('"'), score, F.lit('"'))).otherwise(score), F.lit(', "reason": "r'), F.col("item_ord").cast("string"), F.lit('"}'))
     kept = rows.withColumn("o", F.when(F.col("item_ord") % 11 != 0, one))
     g = kept.groupBy("batch_id").agg(F.array_sort(F.collect_list(F.struct("pos", "o"))).alias("l"))
-    return g.select("batch_id", F.concat(F.lit("```json\n["), F.array_join(F.filter(F.transform("l", lambda x: x["o"]), lambda x: x.isNotNull()), ", "), F.lit("]\n```")).alias("answer"))
+    last = F.when(F.col("batch_id") % 6 == 2, ', {"paper_num": "x", "score": 1}]').when(F.col("batch_id") % 6 == 1, "").otherwise("]")
+    return g.select("batch_id", F.concat(F.lit("```json\n["), F.array_join(F.filter(F.transform("l", lambda x: x["o"]), lambda x: x.isNotNull()), ", "), last, F.lit("\n```")).alias("answer"))
+
+
+def _scored(s, d):
+    b = rank.batches(_papers(s, d).select("item_ord"), [F.col("item_ord")])
+    answers = _answers(b)
+    return rank.with_fallback(b, rank.parse_scores(answers), answers)
 
 
 @query
@@ -515,15 +544,12 @@ def llm_json_parse(s, d):
 
 @query
 def score_join(s, d):
-    b = rank.batches(_papers(s, d).select("item_ord"), [F.col("item_ord")])
-    return rank.join_scores(b, rank.parse_scores(_answers(b))).select("item_ord", F.round("relevance_score", 4).alias("relevance_score"), "filter_reason")
+    return _scored(s, d).select("item_ord", F.round("relevance_score", 4).alias("relevance_score"), "filter_reason")
 
 
 @query
 def topk_rank(s, d):
-    b = rank.batches(_papers(s, d).select("item_ord"), [F.col("item_ord")])
-    scored = rank.join_scores(b, rank.parse_scores(_answers(b)))
-    return rank.ranked(scored, 20).select("item_ord", F.round("relevance_score", 4).alias("relevance_score"))
+    return rank.ranked(_scored(s, d), 20).select("item_ord", F.round("relevance_score", 4).alias("relevance_score"))
 
 
 @query
@@ -562,18 +588,18 @@ def _resolved(s, d, budget=None):
 
 @query
 def resolve_order(s, d):
-    return _resolved(s, d).select("item_ord", "paper_id", "status", "method")
+    return _resolved(s, d).select("item_ord", "paper_id", "status", "method", "error")
 
 
 @query
 def resolver_stats(s, d):
-    return resolve.stats(_resolved(s, d, 25)).select("status", F.col("n_rows").cast("bigint").alias("n_rows"))
+    return resolve.stats(_resolved(s, d, 25))
 
 
 @query
 def author_overlap(s, d):
     names = F.filter(F.transform("authors", lambda a: X.match_title(a["name"])), lambda n: n != "")
-    p = _papers(s, d).select("item_ord", "url", names.alias("names")).withColumn("page", X.normalize_url(F.col("url")))
+    p = _papers(s, d).select("item_ord", names.alias("names"), X.normalize_url(F.col("url")).alias("page")).where("page <> ''")
     w = Window.partitionBy("page").orderBy("item_ord")
     pairs = p.withColumn("before", F.lag("names").over(w)).where("before is not null")
     return pairs.select("item_ord", F.arrays_overlap("names", "before").alias("shared"))
@@ -595,7 +621,7 @@ def embedding_knn(s, d):
 
 @query
 def stream_apply(s, d):
-    return stream.winners_of_stream(s, d)
+    return stream.winners_of_stream(s, d, _index(s, d), F.lit(AS_OF))
 
 
 @query

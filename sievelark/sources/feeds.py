@@ -17,6 +17,8 @@ _ATOM_ENTRY = (
 )
 _ATOM = f"entry array<{_ATOM_ENTRY}>"
 _RSS_ITEM = "struct<title:string,link:string,pubDate:string,description:string,`content:encoded`:string,`dc:creator`:string,author:string>"
+#: Characters kept of a post's full content, and the note behind them.
+FULL, FULL_NOTE = 2000, "... [Content truncated to save tokens]"
 _RSS = f"channel struct<title:string,item:array<{_RSS_ITEM}>>"
 
 
@@ -37,12 +39,12 @@ def atom_items(docs: DataFrame, column: str = "value") -> DataFrame:
     )
 
 
-def rss_posts(docs: DataFrame, column: str = "value", key: str = "feed_key", most: int = 5) -> DataFrame:
-    """Posts of RSS documents (feed_key, value): the first `most` entries of a feed, full content before summary, text without markup and shortened."""
+def rss_posts(docs: DataFrame, column: str = "value", key: str = "feed_key", most: int = 5, shortened: int = 1500) -> DataFrame:
+    """Posts of RSS documents (feed_key, value): the first `most` entries of a feed, the summary before the full content (of that FULL characters and a note), text without markup and shortened."""
     e = docs.select(key, F.posexplode(F.slice(F.from_xml(column, _RSS)["channel"]["item"], 1, most)).alias("pos", "e"))
-    body = F.coalesce(X.filled(F.col("e.content:encoded")), X.filled(F.col("e.description")), F.lit(""))
+    body = F.coalesce(X.filled(F.col("e.description")), X.truncate_marked(X.filled(F.col("e.content:encoded")), FULL, FULL_NOTE), F.lit(""))
     return e.select(
-        key, "pos", X.strip(F.col("e.title")).alias("title"), X.truncate_marked(X.strip_html(body)).alias("content"), F.col("e.link").alias("url"),
+        key, "pos", X.strip(F.col("e.title")).alias("title"), X.truncate_marked(X.strip_html(body), shortened).alias("content"), F.col("e.link").alias("url"),
         F.col("e.pubDate").alias("published_date"), F.coalesce(X.filled(F.col("e.dc:creator")), X.filled(F.col("e.author"))).alias("author"),
     )
 

@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sievelark.operators import feedback
+from sievelark.operators.recall import known_label
 from sievelark.session import shared_dir, table
 
 LATE = "40 days"
@@ -26,9 +28,9 @@ def unique_events(events: DataFrame, key: str = "event_id", ts: str = "received_
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark([key])
 
 
-def latest(events: DataFrame, key: str, order: list[str]) -> DataFrame:
+def latest(events: DataFrame, key: str, order: list[Column]) -> DataFrame:
     """The last event of each key so far (complete or update mode)."""
-    return events.groupBy(key).agg(F.max_by(F.struct("event_id", "label"), F.struct(*order)).alias("r")).select(key, "r.*")
+    return events.where(F.col(key).isNotNull()).groupBy(key).agg(F.max_by(F.struct("event_id", "label"), F.struct(*order)).alias("r")).select(key, "r.*")
 
 
 def windowed(events: DataFrame, ts: str, length: str, late: str = LATE) -> DataFrame:
@@ -63,14 +65,17 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.withColumns({c: F.col(c).cast("timestamp") for c in ntz})
 
 
-def winners_of_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last event of each item, by a stream over all events."""
-    return run_once(latest(_events(spark, sf_dir), "item_id", ["received_at", "event_id"]), "complete")
+def winners_of_stream(spark: SparkSession, sf_dir: str, index: DataFrame, now: Column) -> DataFrame:
+    """The last valid pending event of each paper, by a stream over all events joined to the manifests' index."""
+    events = feedback.resolve_events(feedback.pending(_events(spark, sf_dir)), index).where(known_label().isNotNull())
+    return run_once(latest(events, "paper_id", feedback.event_order(events, now)), "complete")
 
 
 def daily_of_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events a day and label, by a stream with a watermark; output is complete."""
-    return run_once(windowed(_events(spark, sf_dir), "received_at", "1 day"), "complete")
+    """Events a day and label, each event once: a stream drops redelivered events, a second counts what it wrote, by windows with a watermark."""
+    once = run_once(unique_events(_events(spark, sf_dir).select("event_id", "label", "received_at")))
+    folder = once.inputFiles()[0].rsplit("/batch=", 1)[0]
+    return run_once(windowed(source(spark, f"{folder}/batch=*", once.schema), "received_at", "1 day"), "complete")
 
 
 def fresh_keys(events: DataFrame, key: str, ts: str, ttl_days: int) -> DataFrame:

@@ -70,10 +70,26 @@ def test_feedback_three_events(spark):
     for own in ("resolved_semantic_paper_id", None):
         after, judged = feedback.apply_feedback(ev, feedback.manifest_index(man, F.col("pos")), seeds, order, own)
         assert {tuple(r) for r in after.collect()} == {("CorpusId:7", "negative"), ("CorpusId:100", "negative"), ("CorpusId:200", "positive")}
-        assert {r.event_id: r.reason for r in judged.collect()} == {"evt_1": feedback.SUPERSEDED, "evt_2": None, "evt_3": None, "evt_4": feedback.UNMAPPED, "evt_5": feedback.INVALID}
+        assert {r.event_id: r.reason for r in judged.collect()} == {"evt_1": feedback.SUPERSEDED, "evt_2": None, "evt_3": None, "evt_4": feedback.NO_MAPPING if own else feedback.UNKNOWN_ITEM, "evt_5": feedback.INVALID}
         assert tuple(feedback.counters(judged).first()) == (2, 3, 1, 1)
 
 
+def test_made_late_wins_over_received_late(spark):
+    """The last by created_at and event_id wins, whenever it came; runs do not mix, judged events stay out, an item without an id is told apart."""
+    rows = [
+        ("a", "r1", "p01", "positive", "2026-02-21T10:05:00Z", 1, "pending"), ("b", "r1", "p01", "negative", "2026-02-21T11:00:00+02:00", 9, "Pending "), ("c", "r2", "p01", "negative", "2026-02-21T10:09:00Z", 2, "pending"),
+        ("d", "r1", "p01", "negative", "2026-02-21T12:00:00Z", 3, "applied"), ("e", "r1", "p03", "positive", "2026-02-21T10:00:00Z", 4, "pending"), ("f", "r1", "p02", "positive", "2026-02-21T10:00:00Z", 5, "pending"), ("g", "r1", "p02", "undecided", "2026-02-21T10:00:00Z", 5, "pending"),
+    ]
+    ev = feedback.pending(spark.createDataFrame(rows, "event_id string, run_id string, item_id string, label string, created_at string, received_at int, status string"))
+    man = spark.createDataFrame([("r1", "p01", "1", 1), ("r2", "p01", "2", 1), ("r1", "p02", "3", 2), ("r1", "p03", "", 3)], "run_id string, item_id string, semantic_paper_id string, pos int")
+    order = feedback.event_order(ev, F.lit("2026-03-01 00:00:00"))
+    after, judged = feedback.apply_feedback(ev, feedback.manifest_index(man, F.col("pos")), spark.createDataFrame([("CorpusId:3", "positive")], "paper_id string, polarity string"), order, None)
+    assert {tuple(r) for r in after.collect()} == {("CorpusId:1", "positive"), ("CorpusId:2", "negative")}
+    assert {r.event_id: r.reason for r in judged.collect()} == {"a": None, "b": feedback.SUPERSEDED, "c": None, "e": feedback.NO_ID, "f": feedback.SUPERSEDED, "g": None}
+    late = spark.createDataFrame([("x", "2026-02-01T00:00:00Z"), ("y", "next week")], "event_id string, created_at string")
+    assert late.orderBy(*feedback.event_order(late, F.lit("2026-03-01 00:00:00"))).collect()[-1].event_id == "y"
+
+
 def test_undecided_clears_and_ties(spark):
     seeds = spark.createDataFrame([("a", "positive"), ("b", "negative")], "paper_id string, polarity string")
     decided = spark.createDataFrame([("a", "undecided"), ("b", "positive"), ("c", "negative")], "paper_id string, label string")
@@ -90,6 +106,11 @@ def test_scores(spark):
     assert sorted((r.batch_id, r.paper_num, r.score, r.bad) for r in got.collect()) == [(0, 1, 0.7, False), (0, 1, 0.9, False), (0, 2, 0.0, False), (1, 1, 0.4, True)]
     rows = spark.createDataFrame([(0, 1, "a"), (0, 2, "b"), (0, 3, "c"), (1, 1, "d")], "batch_id bigint, pos bigint, item_ord string")
     assert sorted((r.item_ord, r.relevance_score) for r in rank.join_scores(rows, got).collect()) == [("a", 0.9), ("a", 0.9), ("b", 0.0), ("d", 0.4)]
+    rows = rows.unionByName(spark.createDataFrame([(1, 2, "e"), (2, 1, "f"), (3, 1, "g"), (4, 1, "h")], rows.schema))
+    got = rank.with_fallback(rows, got, answers)
+    assert sorted((r.item_ord, r.relevance_score, r.filter_reason) for r in got.collect()) == [("a", 0.9, ""), ("a", 0.9, ""), ("b", 0.0, ""), ("d", 0.4, ""), ("e", 0.0, ""), ("f", 0.0, ""), ("g", 0.0, "")]
+    before = rows.withColumns({"relevance_score": F.lit(0.3), "filter_reason": F.lit("coarse")})
+    assert {(r.item_ord, r.relevance_score, r.filter_reason) for r in rank.with_fallback(before, rank.parse_scores(answers), answers).where("batch_id > 0").collect()} == {("d", 0.4, ""), ("e", 0.3, "coarse"), ("f", 0.3, "coarse"), ("g", 0.3, "coarse")}
 
 
 def test_title_matches(spark):
@@ -106,8 +127,15 @@ def test_budget(spark):
     by_title = spark.createDataFrame([], "item_ord bigint, found_id string")
     got = {r.item_ord: (r.paper_id, r.status, r.method) for r in resolve.resolve(df, by_arxiv, by_title).collect()}
     assert got == {1: ("CorpusId:1", "resolved", "arxiv"), 2: (None, "error", "arxiv"), 3: ("CorpusId:77", "existing", "existing")}
-    got = {r.item_ord: r.method for r in resolve.resolve(df, by_arxiv, by_title, 0).collect()}
-    assert got == {1: "budget_exhausted", 2: "budget_exhausted", 3: "existing"}
+    over = resolve.resolve(df, by_arxiv, by_title, 0)
+    assert {r.item_ord: (r.status, r.method, r.error) for r in over.collect()} == {1: ("error", "none", "budget_exhausted"), 2: ("error", "none", "budget_exhausted"), 3: ("existing", "existing", None)}
+    assert resolve.stats(over).first().asDict() == {"resolved": 1, "unresolved": 2, "errors": 0, "cache_hits": 0, "lookups": 0, "budget_skips": 2}
+    more = df.unionByName(items(spark, [(4, "t1", "", "u1", "Arxiv", "1", None), (5, "t5", "", "u5", "manual", "1", None)]))
+    got = resolve.resolve(more, by_arxiv, by_title, 1)
+    assert {r.item_ord: (r.status, r.method) for r in got.collect()} == {1: ("resolved", "arxiv"), 2: ("error", "none"), 3: ("existing", "existing"), 4: ("resolved", "arxiv"), 5: ("unresolved", "none")}
+    assert resolve.stats(got).first().asDict() == {"resolved": 3, "unresolved": 2, "errors": 0, "cache_hits": 1, "lookups": 1, "budget_skips": 1}
+    many = items(spark, [(i, f"t{i}", "", f"u{i}", "arxiv", str(i), None) for i in range(30)])
+    assert resolve.resolve(many, by_arxiv, by_title, 25, has_key=False).where("error is null").count() == resolve.KEYLESS
 
 
 def test_manifest_and_decoration(spark):

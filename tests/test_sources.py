@@ -27,6 +27,9 @@ def test_rss(spark):
     df = spark.createDataFrame([("f", RSS), ("g", "")], "feed_key string, value string")
     r = feeds.rss_posts(df).orderBy("pos").collect()
     assert [x.title for x in r] == ["t0", "t1", "t2", "t3", "t4"] and r[0].content == "body 0"
+    both = "<rss><channel><title>f</title><item><title>a</title><description>short</description><content:encoded>long</content:encoded></item><item><title>b</title><content:encoded>" + "x" * 2500 + "</content:encoded></item></channel></rss>"
+    a, b = feeds.rss_posts(spark.createDataFrame([("f", both)], "feed_key string, value string"), shortened=5000).orderBy("pos").collect()
+    assert a.content == "short" and b.content == "x" * 2000 + feeds.FULL_NOTE
 
 
 def test_daily_and_recommended(spark):
