@@ -23,12 +23,12 @@ def signed_links(entries: DataFrame, secret: str, base: str, expires: str, revie
     return out.withColumn("link", K.feedback_url(base, F.col("token")))
 
 
-def digest(spark: SparkSession, sf_dir: str, include: Sequence[str], exclude: Sequence[str], as_of: Column, ttl_days: int, k: int = 20) -> dict[str, DataFrame]:
+def digest(spark: SparkSession, sf_dir: str, include: Sequence[str], exclude: Sequence[str], as_of: Column, ttl_days: int, k: int = 20, with_papers: bool = True) -> dict[str, DataFrame]:
     """The stages of a digest by name: fetched, new (not seen lately; manual items are never held back), unique, recalled, ranked.
 
     Suppression runs before the dedup, so a suppressed copy does not hide a later one."""
     live = memory.live(table(spark, sf_dir, "semantic_scholar_memory"), as_of, ttl_days)
-    fetched = schema.papers(spark, sf_dir)
+    fetched = schema.papers(spark, sf_dir).where(F.lit(with_papers))
     manual = F.col("source") == "manual"
     new = memory.suppress(fetched.where(~manual), live).unionByName(fetched.where(manual))
     unique = recall.first_wins(new, recall.identity(), F.col("item_ord"))
@@ -51,7 +51,7 @@ def run_digest(spark: SparkSession, sf_dir: str, settings: Settings, as_of: Colu
 
     Signals are looked for only on what the coarse ranking keeps; posts of the feeds skip the filters."""
     scorer = scorer or rank.lexical_scorer(list(settings.include))
-    stages = digest(spark, sf_dir, settings.include, settings.exclude, as_of, settings.memory_ttl_days, settings.coarse_keep)
+    stages = digest(spark, sf_dir, settings.include, settings.exclude, as_of, settings.memory_ttl_days, settings.coarse_keep, settings.with_papers)
     recalled = stages["recalled"]
     if recalled.limit(settings.coarse_threshold + 1).count() > settings.coarse_threshold:
         coarse = cut(rank.ranked(rank.score_with(recalled, scorer, settings.batch_rows), settings.coarse_keep)).drop("relevance_score", "filter_reason")
@@ -61,7 +61,7 @@ def run_digest(spark: SparkSession, sf_dir: str, settings: Settings, as_of: Colu
     fine = cut(rank.ranked(rank.score_with(noted, scorer, settings.batch_rows), settings.keep))
     newest = [F.col("fetched_at").desc(), F.col("post_id")]
     since = as_of - F.make_interval(days=F.lit(settings.blog_days))
-    posts = recall.recent(recall.first_per_group(table(spark, sf_dir, "blog_posts"), ["feed_key"], newest, settings.posts_per_feed), "fetched_at", since, keep_undated=True)
+    posts = recall.recent(recall.first_per_group(table(spark, sf_dir, "blog_posts").where(F.lit(settings.with_blogs)), ["feed_key"], newest, settings.posts_per_feed), "fetched_at", since, keep_undated=True)
     blogs = schema.blog_items(recall.first_wins(posts, F.col("url"), F.col("post_id")))
     lines = recall.numbered(fine, [F.col("relevance_score").desc(), F.col("item_ord")]).select("n", "item_ord", X.report_line(F.col("n"), F.col("title"), F.col("authors"), F.col("url"), F.col("research_notes")).alias("line"))
     return stages | {"coarse": coarse, "fine": fine, "blogs": blogs, "lines": lines}
